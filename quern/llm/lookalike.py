@@ -12,11 +12,18 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
+
+from quern.llm import textblocks as tb
+from quern.runtime import materialise
 
 # Letters of Cyrillic and Greek that look like Latin letters.
 CYRILLIC_AS_LATIN = {
@@ -78,6 +85,9 @@ def _python() -> dict:
     hard = "".join(map(re.escape, compatibility())) + INVISIBLE + SPACES + JOINERS + "\u0300-\u036f\u1ab0-\u1aff\u1dc0-\u1dff\u20d0-\u20f0\u212a\u212b"
     return {
         "table": table,
+        "hard": re.compile(f"[{hard}]"),
+        "blank": re.compile("[ \t\r]"),
+        "ambiguous": re.compile(f"(?<![^\\W\\d_])[{''.join(TO_LATIN)}]+(?![^\\W\\d_])"),
         "suspect": re.compile(f"[{hard}{OTHER_SCRIPT}]"),
         "joiner": re.compile(f"(?<![{JOINED}\u200d\ufe0f\u2190-\u2bff\u3030\u303d\U0001f000-\U0001faff#*0-9])[{JOINERS}]|[\u200c\u200d](?![{JOINED}\u2190-\u2bff\U0001f000-\U0001faff])"),
         "word": re.compile(f"[{LATIN}{OTHER_SCRIPT}]*[{OTHER_SCRIPT}][{LATIN}{OTHER_SCRIPT}]*"),
@@ -137,11 +147,6 @@ def _hard() -> str:
     return "[" + _ranges(compatibility()) + INVISIBLE + SPACES + JOINERS + "\\p{M}\u212a\u212b]"
 
 
-def _suspect_token(token: Column) -> Column:
-    other = token.rlike(f"[{OTHER_SCRIPT}]")
-    return token.rlike(_hard()) | (other & (token.rlike(f"[{LATIN}]") | token.rlike(f"(?<!\\p{{L}})[{''.join(TO_LATIN)}]+(?!\\p{{L}})")))
-
-
 def _translate(column: Column, table: dict[str, str]) -> Column:
     return F.translate(column, "".join(table), "".join(table.values()))
 
@@ -177,7 +182,7 @@ def _mapped(token: Column, other_context: Column) -> Column:
     return F.array_join(F.transform(words, word), "")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def composed(values: pd.Series) -> pd.Series:
     return values.map(lambda v: unicodedata.normalize("NFC", v), na_action="ignore")
 
@@ -187,20 +192,56 @@ def _line_context(line: Column) -> Column:
     return (F.regexp_count(plain, F.lit(DEFINITE_OTHER)) >= 2) | ~F.regexp_replace(line, f"[{INVISIBLE}]", "").rlike(DEFINITE_LATIN)
 
 
-def fields_long(records: DataFrame, fields: tuple[str, ...] = ("title", "body_text"), key: str = "id") -> DataFrame:
-    """(key, field, text): the fields that hold a suspect character and are not blank."""
-    pairs = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("text")) for f in fields])).alias("x")
-    return (records.select(key, pairs).select(key, "x.field", "x.text")
-            .filter(F.col("text").rlike(f"{_hard()}|[{OTHER_SCRIPT}]") & F.col("text").rlike(r"[^\s\p{Z}\p{Cf}\p{Cc}]")))
+@lru_cache(1)
+def _suspect_points() -> np.ndarray:
+    """Whether a code point (below textblocks.LIMIT) can be a look-alike or is of a script that has some."""
+    p, table = _python(), np.zeros(tb.LIMIT + 1, bool)
+    for c in range(0xD800):
+        table[c] = bool(p["suspect"].match(chr(c)))
+    for c in range(0xE000, tb.LIMIT):
+        table[c] = bool(p["suspect"].match(chr(c)))
+    return table
+
+
+def line_tokens(line: str) -> Iterator[tuple[str, bool]]:
+    """(token, other_context) of the suspect tokens of a line."""
+    p = _python()
+    if not p["suspect"].search(line):
+        return
+    plain = p["hard"].sub("", line)
+    context = len(p["other_definite"].findall(plain)) >= 2 or not p["latin_definite"].search(line)
+    for token in p["blank"].split(line):
+        if p["hard"].search(token) or p["other"].search(token) and (p["latin"].search(token) or p["ambiguous"].search(token)):
+            yield token, context
 
 
 def suspect_tokens(records: DataFrame, fields: tuple[str, ...] = ("title", "body_text"), key: str = "id") -> DataFrame:
-    """(key, field, token, other_context), distinct."""
-    return (fields_long(records, fields, key)
-            .select(key, "field", F.explode(F.split("text", "\n")).alias("line"))
-            .filter(F.col("line").rlike(f"{_hard()}|[{OTHER_SCRIPT}]"))
-            .select(key, "field", _line_context(F.col("line")).alias("other_context"), F.explode(F.split(F.regexp_replace("line", "\r", ""), "[ \t]")).alias("token"))
-            .filter(_suspect_token(F.col("token"))).distinct())
+    """(key, field, token, other_context) of every field that is not blank; a token once a field of a row."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        points, blank = _suspect_points(), re.compile(f"[\\s{INVISIBLE}{SPACES}{JOINERS}]*")
+        for batch in batches:
+            for field in fields:
+                for part in tb.chunks(batch, field):
+                    cps, offs = tb.codepoints(part.column(field))
+                    at = np.flatnonzero(points[np.minimum(cps, tb.LIMIT)])
+                    rows = np.unique(np.searchsorted(offs, at, "right") - 1)
+                    out_row, out_token, out_context = [], [], []
+                    for row in rows.tolist():
+                        text = cps[offs[row] : offs[row + 1]].tobytes().decode("utf-32-le", "replace")
+                        if blank.fullmatch(text):
+                            continue
+                        for token, context in {x for line in text.split("\n") for x in line_tokens(line)}:
+                            out_row.append(row)
+                            out_token.append(token)
+                            out_context.append(context)
+                    if out_row:
+                        yield pa.RecordBatch.from_arrays(
+                            [part.column(key).take(pa.array(out_row)), pa.array([field] * len(out_row)), pa.array(out_token, pa.string()), pa.array(out_context)],
+                            [key, "field", "token", "other_context"])
+
+    kind = records.schema[key].dataType.simpleString()
+    return records.select(key, *fields).mapInArrow(scan, f"`{key}` {kind}, field string, token string, other_context boolean")
 
 
 def canonical_members(tokens: DataFrame) -> DataFrame:
@@ -216,13 +257,13 @@ def canonical_members(tokens: DataFrame) -> DataFrame:
 def found(records: DataFrame, fields: tuple[str, ...] = ("title", "body_text"), key: str = "id") -> DataFrame:
     """(key, field): fields with at least one token that has a plainer form. Null and blank fields give no row; repeated rows of a
     record count once."""
-    tokens = suspect_tokens(records, fields, key)
+    tokens = materialise(suspect_tokens(records, fields, key))
     return tokens.join(canonical_members(tokens), ["token", "other_context"], "left_semi").select(key, "field").distinct()
 
 
 def canonical_records(records: DataFrame, fields: tuple[str, ...] = ("title", "body_text"), key: str = "id") -> DataFrame:
     """(key, *fields): every record's fields in the one form, one row per key. Nulls stay null."""
-    tokens = suspect_tokens(records, fields, key)
+    tokens = materialise(suspect_tokens(records, fields, key))
     maps = (tokens.join(canonical_members(tokens), ["token", "other_context"])
             .groupBy(key).agg(*[F.map_from_entries(F.array_distinct(F.collect_list(F.when(F.col("field") == f, F.struct(F.concat(F.col("other_context").cast("string"), "token"), F.col("canonical")))))).alias(f"_{f}") for f in fields]))
 
