@@ -137,6 +137,19 @@ def canonical_text(text: str) -> str:
     return "\n".join(out)
 
 
+def canonical_array(values: pa.Array) -> pa.Array:
+    """canonical_text of each value; values without a suspect character are passed on as they are."""
+    cps, offs = tb.codepoints(values)
+    at = np.flatnonzero(_suspect_points()[np.minimum(cps, tb.LIMIT)])
+    if not len(at):
+        return values
+    rows = np.unique(np.searchsorted(offs, at, "right") - 1)
+    changed = pa.array([canonical_text(values[r].as_py()) for r in rows.tolist()], pa.string())
+    take = np.arange(len(values))
+    take[rows] = len(values) + np.arange(len(rows))
+    return pa.concat_arrays([values.cast(pa.string()), changed]).take(pa.array(take))
+
+
 def canonical_series(values: pd.Series) -> pd.Series:
     return values.map(canonical_text, na_action="ignore")
 

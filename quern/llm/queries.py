@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm import bpe, lookalike, packing
+from quern.llm import bpe, lookalike, neardup, packing
 from quern.runtime import table
 
 
@@ -16,6 +16,14 @@ def p5_canonical(spark: SparkSession, d: str) -> DataFrame:
     return lookalike.canonical_records(table(spark, d, "raw_documents"))
 
 
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return neardup.found(table(spark, d, "raw_documents"))
+
+
+def p6_groups(spark: SparkSession, d: str) -> DataFrame:
+    return neardup.groups(table(spark, d, "raw_documents"))
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return bpe.encode_documents(table(spark, d, "documents"))
 
@@ -25,5 +33,5 @@ def p9_containers(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack(table(spark, d, "documents"), capacities)
 
 
-QUERIES = {"p5_found": p5_found, "p5_canonical": p5_canonical, "p8_ids": p8_ids, "p9_containers": p9_containers}
+QUERIES = {"p5_found": p5_found, "p5_canonical": p5_canonical, "p6_found": p6_found, "p6_groups": p6_groups, "p8_ids": p8_ids, "p9_containers": p9_containers}
 ORACLE: dict[str, str] = {}
