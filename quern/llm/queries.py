@@ -4,10 +4,22 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm import bpe, lookalike, neardup, packing
+from quern.llm import bpe, lookalike, neardup, packing, sitelines
 from quern.runtime import table
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return sitelines.found(table(spark, d, "raw_documents"))
+
+
+def p1_blocks(spark: SparkSession, d: str) -> DataFrame:
+    return sitelines.blocks(sitelines.line_rows(table(spark, d, "raw_documents")))
+
+
+def p1_cleaned(spark: SparkSession, d: str) -> DataFrame:
+    return sitelines.cleaned(table(spark, d, "raw_documents"))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return lookalike.found(table(spark, d, "raw_documents"))
 
@@ -33,5 +45,5 @@ def p9_containers(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack(table(spark, d, "documents"), capacities)
 
 
-QUERIES = {"p5_found": p5_found, "p5_canonical": p5_canonical, "p6_found": p6_found, "p6_groups": p6_groups, "p8_ids": p8_ids, "p9_containers": p9_containers}
+QUERIES = {"p1_found": p1_found, "p1_blocks": p1_blocks, "p1_cleaned": p1_cleaned, "p5_found": p5_found, "p5_canonical": p5_canonical, "p6_found": p6_found, "p6_groups": p6_groups, "p8_ids": p8_ids, "p9_containers": p9_containers}
 ORACLE: dict[str, str] = {}
