@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm import bpe, lookalike, neardup, packing, sitelines
+from quern.llm import bpe, liststuff, lookalike, neardup, packing, sitelines
 from quern.runtime import table
 
 
@@ -20,6 +20,10 @@ def p1_cleaned(spark: SparkSession, d: str) -> DataFrame:
     return sitelines.cleaned(table(spark, d, "raw_documents"))
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return liststuff.found(table(spark, d, "raw_documents"), table(spark, d, "lang_samples"))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return lookalike.found(table(spark, d, "raw_documents"))
 
@@ -45,5 +49,5 @@ def p9_containers(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack(table(spark, d, "documents"), capacities)
 
 
-QUERIES = {"p1_found": p1_found, "p1_blocks": p1_blocks, "p1_cleaned": p1_cleaned, "p5_found": p5_found, "p5_canonical": p5_canonical, "p6_found": p6_found, "p6_groups": p6_groups, "p8_ids": p8_ids, "p9_containers": p9_containers}
+QUERIES = {"p1_found": p1_found, "p1_blocks": p1_blocks, "p1_cleaned": p1_cleaned, "p4_found": p4_found, "p5_found": p5_found, "p5_canonical": p5_canonical, "p6_found": p6_found, "p6_groups": p6_groups, "p8_ids": p8_ids, "p9_containers": p9_containers}
 ORACLE: dict[str, str] = {}
