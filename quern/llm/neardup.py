@@ -15,12 +15,13 @@ sketch puts above region_rows records is spread over pairs of blocks, so that no
 
 from __future__ import annotations
 
-import math
+import struct
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,7 +29,7 @@ from quern.llm import shingles
 from quern.llm import textblocks as tb
 from quern.runtime import materialise
 
-THRESHOLD, WORDS, MATCHES, SKETCH_BITS, REGION_ROWS = 0.6, 3, 9, 20, 20_000
+THRESHOLD, WORDS, MATCHES, SKETCH_BITS, REGION_ROWS = 0.6, 3, 6, 20, 50_000
 SLICE_BITS = 14
 
 
@@ -45,7 +46,7 @@ def shingle_sketch(texts: DataFrame, k: int, bits: int = SKETCH_BITS) -> np.ndar
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells = np.zeros(1 << bits, np.int64)
         for _, hashes, _ in _sets(batches, k):
-            cells += np.bincount((hashes >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
+            cells += np.bincount((hashes >> np.uint64(shingles.HASH_BITS - bits)).astype(np.int64), minlength=1 << bits)
         cells = np.minimum(cells, 2**31 - 1).astype(np.int32)
         if cells.any():
             rows = cells.reshape(-1, 1 << min(bits, SLICE_BITS))
@@ -76,126 +77,219 @@ def set_signature(hashes: np.ndarray, offs: np.ndarray) -> np.ndarray:
         return tb.mix(total[offs[1:]] - total[offs[:-1]] + np.diff(offs).astype(np.uint64)).view(np.int64)
 
 
-def region_rows(texts: DataFrame, sketch: np.ndarray, k: int, threshold: float, matches: int, most: int) -> DataFrame:
-    """(id, sig, n, pivots, spread): each record with its pivots, rarest first; only the first record of a set in a task has them."""
+def _block(region: np.ndarray, owner: np.ndarray, at: np.ndarray, side: np.ndarray, sigs: np.ndarray, sizes: np.ndarray) -> bytes:
+    """Entries of one bucket, by region, with a table of their sets. Packed by column and compressed."""
+    order = np.argsort(region, kind="stable")
+    region, owner = region[order], owner[order]
+    used, owner = np.unique(owner, return_inverse=True)
+    steps = np.diff(region, prepend=np.uint64(0))
+    columns = [steps, owner.astype(np.uint32), at[order].astype(np.uint32), side[order].astype(np.uint8), sigs[used], sizes[used].astype(np.uint32)]
+    # bytes of equal rank lie together
+    packed = b"".join(c.view(np.uint8).reshape(len(c), -1).T.tobytes() if len(c) else b"" for c in columns)
+    return struct.pack("<II", len(region), len(used)) + zstandard.ZstdCompressor(level=1).compress(packed)
+
+
+def _unblock(data: bytes):
+    n, m = struct.unpack("<II", data[:8])
+    raw, at, out = np.frombuffer(zstandard.ZstdDecompressor().decompress(data[8:]), np.uint8), 0, []
+    for kind, count in ((np.uint64, n), (np.uint32, n), (np.uint32, n), (np.uint8, n), (np.int64, m), (np.uint32, m)):
+        width = np.dtype(kind).itemsize
+        out.append(np.ascontiguousarray(raw[at : at + width * count].reshape(width, count).T).view(kind).reshape(-1))
+        at += width * count
+    steps, owner, position, side, sigs, sizes = out
+    return np.cumsum(steps, dtype=np.uint64), sigs[owner], sizes[owner].astype(np.int64), position.astype(np.int64), side
+
+
+DIAGONAL, LEFT, RIGHT = 0, 1, 2
+
+
+def region_rows(texts: DataFrame, sketch: np.ndarray, k: int, threshold: float, matches: int, most: int, buckets: int) -> DataFrame:
+    """Rows of two kinds. (id, sig, n): each record that has words. (bucket, data): what a task's records put into the regions of a bucket;
+    of equal sets in a task only the first does."""
     shared = texts.sparkSession.sparkContext.broadcast(sketch)
     bits = int(len(sketch)).bit_length() - 1
+    names = ["id", "sig", "n", "bucket", "data"]
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells, seen = shared.value, set()
+        held: list[tuple] = []
+        owners: list[tuple] = []
+        n_held = n_owners = 0
+        id_type = None
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            region, owner, at, side = (np.concatenate(x) for x in zip(*held))
+            sigs, sizes = (np.concatenate(x) for x in zip(*owners))
+            bucket = (tb.mix(region) % np.uint64(buckets)).astype(np.int64)
+            order = np.argsort(bucket, kind="stable")
+            cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
+            for b in range(buckets):
+                take = order[cuts[b] : cuts[b + 1]]
+                if len(take):
+                    data = _block(region[take], owner[take], at[take], side[take], sigs, sizes)
+                    yield pa.RecordBatch.from_arrays([pa.nulls(1, id_type), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int32()), pa.array([b], pa.int32()), pa.array([data], pa.binary())], names)
+            held.clear()
+            owners.clear()
+
         for part, hashes, offs in _sets(batches, k):
+            id_type = part.column("id").type
             n = np.diff(offs)
             sig = set_signature(hashes, offs)
-            first = np.array([s not in seen and not seen.add(s) for s in sig.tolist()], bool) if len(sig) else np.zeros(0, bool)
-            row = np.repeat(np.arange(len(n)), n)
-            count = cells[(hashes >> np.uint64(64 - bits)).astype(np.int64)]
-            order = np.lexsort((hashes, count, row))
-            length = np.where(first & (n > 0), np.minimum(n, n - np.ceil(threshold * n - 1e-9).astype(np.int64) + matches), 0)
-            take = order[tb.expand(offs[:-1], length)]
-            bounds = np.zeros(len(n) + 1, np.int32)
-            np.cumsum(length, out=bounds[1:])
-            spread = -(-count[take] // most)
-            wide = np.maximum.reduceat(np.append(spread, 0), np.minimum(bounds[:-1], len(spread))) > 1 if len(spread) else np.zeros(len(n), bool)
-            wide &= length > 0
-            spreads = pa.array([spread[a:b].tolist() if w else None for a, b, w in zip(bounds, bounds[1:], wide)] if wide.any() else [None] * len(n), pa.list_(pa.int32()))
             keep = pa.array(n > 0)
-            out = pa.RecordBatch.from_arrays(
-                [part.column("id"), pa.array(sig), pa.array(n.astype(np.int32)), pa.ListArray.from_arrays(pa.array(bounds), pa.array(hashes[take].view(np.int64))), spreads],
-                ["id", "sig", "n", "pivots", "spread"])
-            yield out.filter(keep)
+            members = pa.RecordBatch.from_arrays([part.column("id"), pa.array(sig), pa.array(n.astype(np.int32)), pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.binary())], names)
+            yield members.filter(keep)
+            first = np.array([s not in seen and not seen.add(s) for s in sig.tolist()], bool) & (n > 0) if len(sig) else np.zeros(0, bool)
+            row = np.repeat(np.arange(len(n), dtype=np.uint64), n)
+            count = cells[(hashes >> np.uint64(shingles.HASH_BITS - bits)).astype(np.int64)]
+            order = np.argsort(row << np.uint64(48) | np.minimum(count, 65535).astype(np.uint64) << np.uint64(32) | hashes >> np.uint64(shingles.HASH_BITS - 32))
+            # one more than needed: two shingles of a record may tie in the key above
+            length = np.where(first, np.minimum(n, n - np.ceil(threshold * n - 1e-9).astype(np.int64) + matches + 1), 0)
+            at = tb.expand(np.zeros(len(n), np.int64), length)
+            take = order[tb.expand(offs[:-1], length)]
+            owner = np.repeat(np.arange(len(n)), length)
+            region, g = hashes[take], -(-count[take].astype(np.int64) // most)
+            side = np.zeros(len(region), np.uint8)
+            if (g > 1).any():
+                copies = np.maximum(g, 1)
+                other = tb.expand(np.zeros(len(g), np.int64), copies)
+                region, at, owner, g = (np.repeat(x, copies) for x in (region, at, owner, np.maximum(g, 1)))
+                block = (sig[owner].view(np.uint64) % g.astype(np.uint64)).astype(np.int64)
+                low, high = np.minimum(block, other), np.maximum(block, other)
+                side = np.where(block == other, DIAGONAL, np.where(block < other, LEFT, RIGHT)).astype(np.uint8)
+                with np.errstate(over="ignore"):
+                    region = np.where(g > 1, tb.mix(region + (low * g + high + 1).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - shingles.HASH_BITS), region)
+            held.append((region, owner + n_owners, at, side))
+            owners.append((sig, n))
+            n_held += len(region)
+            n_owners += len(n)
+            if n_held > 1_500_000:
+                yield from flush()
+                n_held = n_owners = 0
+        if n_held:
+            yield from flush()
 
     kind = texts.schema["id"].dataType.simpleString()
-    return texts.mapInArrow(assign, f"id {kind}, sig bigint, n int, pivots array<bigint>, spread array<int>")
+    return texts.mapInArrow(assign, f"id {kind}, sig bigint, n int, bucket int, data binary")
 
 
-def region_pairs(rows: DataFrame, threshold: float, matches: int, pairs_at_once: int = 400_000) -> DataFrame:
-    """(a, b, hits): pairs of sets with the number of regions in which they meet, where that can be enough; one row a partition."""
+def region_pairs(blocks: DataFrame, threshold: float, matches: int, buckets: int, pairs_at_once: int = 400_000) -> DataFrame:
+    """(a, b, need, hits): pairs of sets, the number of regions in which they have to meet, and in which they do in this task."""
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [b for b in batches if b.num_rows]
+        parts = [_unblock(data.as_py()) for batch in batches for data in batch.column("data")]
         if not parts:
             return
-        t = pa.Table.from_batches(parts)
-        pivot, sig, n, at, block, other = (t.column(c).to_numpy() for c in ("pivot", "sig", "n", "at", "block", "other"))
-        del parts, t
-        low, high = np.minimum(block, other), np.maximum(block, other)
-        order = np.lexsort((sig, n, high, low, pivot))
-        pivot, sig, n, at, block, low, high = (x[order] for x in (pivot, sig, n, at, block, low, high))
-        same = np.ones(len(pivot), bool)
-        same[0] = False
-        for x in (pivot, low, high):
-            same[1:] &= x[1:] == x[:-1]
-        repeated = same.copy()
-        repeated[1:] &= sig[1:] == sig[:-1]
-        if repeated.any():
-            keep = ~repeated
-            pivot, sig, n, at, block, low, high = (x[keep] for x in (pivot, sig, n, at, block, low, high))
-            same = np.ones(len(pivot), bool)
-            same[0] = False
-            for x in (pivot, low, high):
-                same[1:] &= x[1:] == x[:-1]
-        starts = np.flatnonzero(~same)
-        region_end = np.repeat(np.append(starts[1:], len(pivot)), np.diff(np.append(starts, len(pivot))))
+        region, sig, n, at, side = (np.concatenate(x) for x in zip(*parts))
+        del parts
+        order = np.lexsort((sig, n, region))
+        region, sig, n, at, side = (x[order] for x in (region, sig, n, at, side))
+        again = np.zeros(len(region), bool)
+        again[1:] = (region[1:] == region[:-1]) & (sig[1:] == sig[:-1])
+        region, sig, n, at, side = (x[~again] for x in (region, sig, n, at, side))
+        index = np.arange(len(region))
         # sizes ascend within a region: partners end where the larger size exceeds n / threshold
-        index = np.arange(len(pivot))
-        region = np.cumsum(~same) - 1
-        scaled = region.astype(np.float64) * 2.0**31 + n
-        stop = np.minimum(region_end, np.searchsorted(scaled, region.astype(np.float64) * 2.0**31 + np.floor(n / threshold + 1e-9), "right"))
+        number = np.cumsum(np.append(False, region[1:] != region[:-1])) if len(region) else index
+        key = number * np.int64(1 << 32) + n
+        stop = np.searchsorted(key, number * np.int64(1 << 32) + np.floor(n / threshold + 1e-9).astype(np.int64), "right")
         counts = np.maximum(stop - index - 1, 0)
-        total = np.concatenate([[0], np.cumsum(counts)])
+        index, counts = index[counts > 0], counts[counts > 0]
         found: list[np.ndarray] = []
-        begin = 0
+        n_found = 0
+        begin, skip = 0, 0
+        total = np.concatenate([[0], np.cumsum(counts)])
         while begin < len(index):
-            end = max(begin + 1, int(np.searchsorted(total, total[begin] + pairs_at_once, "right")) - 1)
-            # one row may have more partners than fit at once
-            step = max(1, pairs_at_once)
-            c = counts[begin:end]
-            for skip in range(0, int(c.max()) if end == begin + 1 and len(c) else 1, step):
-                cc = np.minimum(np.maximum(c - skip, 0), step) if end == begin + 1 else c
-                a = np.repeat(index[begin:end], cc)
-                b = tb.expand(index[begin:end] + 1 + skip, cc)
-                o = required_overlap(n[a], n[b], threshold)
-                need = np.minimum(matches, o)
-                ok = (at[a] < n[a] - o + need) & (at[b] < n[b] - o + need) & ((low[a] == high[a]) | (block[a] != block[b]))
-                a, b = sig[a[ok]], sig[b[ok]]
-                if len(a):
-                    found.append(np.stack([np.minimum(a, b), np.maximum(a, b)], 1))
-            begin = end
-            if sum(map(len, found)) > 1_000_000 or begin >= len(index) and found:
-                yield from counted(found)
-                found = []
-
-    def counted(found: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+            if counts[begin] > pairs_at_once:  # one row with very many partners: some of them at a time
+                some = min(pairs_at_once, counts[begin] - skip)
+                a = np.repeat(index[begin], some)
+                b = index[begin] + 1 + skip + np.arange(some)
+                skip += some
+                if skip >= counts[begin]:
+                    begin, skip = begin + 1, 0
+            else:
+                end = max(begin + 1, int(np.searchsorted(total, total[begin] + pairs_at_once, "right")) - 1)
+                c = counts[begin:end]
+                a, b = np.repeat(index[begin:end], c), tb.expand(index[begin:end] + 1, c)
+                begin = end
+            o = required_overlap(n[a], n[b], threshold)
+            need = np.minimum(matches, o)
+            ok = (at[a] < n[a] - o + need + 1) & (at[b] < n[b] - o + need + 1) & ((side[a] == DIAGONAL) | (side[a] != side[b]))
+            a, b = a[ok], b[ok]
+            if len(a):
+                found.append(np.stack([np.minimum(sig[a], sig[b]), np.maximum(sig[a], sig[b]), need[ok]], 1))
+                n_found += len(a)
+            if n_found > 1_000_000:
+                yield counted(found)
+                found, n_found = [], 0
+        if found:
+            yield counted(found)
+
+    def counted(found: list[np.ndarray]) -> pa.RecordBatch:
         pairs = np.concatenate(found)
-        pairs = pairs[np.lexsort((pairs[:, 1], pairs[:, 0]))]
-        new = np.flatnonzero(np.append(True, (pairs[1:] != pairs[:-1]).any(1)))
+        with np.errstate(over="ignore"):
+            key = tb.mix(pairs[:, 0].view(np.uint64)) + pairs[:, 1].view(np.uint64)
+        pairs = pairs[np.argsort(key, kind="stable")]
+        new = np.flatnonzero(np.append(True, (pairs[1:, :2] != pairs[:-1, :2]).any(1)))
         hits = np.diff(np.append(new, len(pairs)))
-        yield pa.RecordBatch.from_arrays([pa.array(pairs[new, 0]), pa.array(pairs[new, 1]), pa.array(hits.astype(np.int32))], ["a", "b", "hits"])
+        return pa.RecordBatch.from_arrays([pa.array(pairs[new, 0]), pa.array(pairs[new, 1]), pa.array(pairs[new, 2].astype(np.int32)), pa.array(hits.astype(np.int32))], ["a", "b", "need", "hits"])
+
+    return blocks.repartition(buckets, "bucket").mapInArrow(join, "a bigint, b bigint, need int, hits int")
+
+
+def id_filter(ids: DataFrame, bits: int = 23) -> np.ndarray:
+    """A Bloom filter of fixed size for the values of column id; it only spares work, what passes wrongly is joined away."""
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cells = np.zeros(1 << bits, bool)
+        for batch in batches:
+            cells[batch.column("h").to_numpy() & ((1 << bits) - 1)] = True
+        if cells.any():
+            rows = np.packbits(cells).reshape(64, -1)
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(64, dtype=np.int32)), pa.array([r.tobytes() for r in rows])], ["slice", "cells"])
 
-    pivots = rows.select("sig", "n", "spread", F.posexplode("pivots").alias("at", "pivot"))
-    pivots = pivots.withColumn("g", F.coalesce(F.element_at("spread", F.col("at") + 1), F.lit(1)))
-    pivots = pivots.withColumn("block", F.pmod(F.hash("sig"), "g"))
-    pivots = pivots.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
-    regions = pivots.select("pivot", "sig", "n", "at", F.col("block").cast("int"), F.col("other").cast("int"))
-    regions = regions.repartition(F.col("pivot"), F.least("block", "other"), F.greatest("block", "other"))
-    return regions.mapInArrow(join, "a bigint, b bigint, hits int")
+    def merge(group: pd.DataFrame) -> pd.DataFrame:
+        total = np.zeros(len(group.cells.iloc[0]), np.uint8)
+        for raw in group.cells:
+            total |= np.frombuffer(raw, np.uint8)
+        return pd.DataFrame({"slice": group.slice.iloc[:1], "cells": [total.tobytes()]})
+
+    out = np.zeros((64, (1 << bits) // 8 // 64), np.uint8)
+    hashed = ids.select(F.xxhash64("id").alias("h"))
+    for r in hashed.mapInArrow(mark, "slice int, cells binary").groupBy("slice").applyInPandas(merge, "slice int, cells binary").collect():
+        out[r["slice"]] = np.frombuffer(bytes(r["cells"]), np.uint8)
+    return out.reshape(-1)
+
+
+def record_sets(texts: DataFrame, k: int, wanted: np.ndarray) -> DataFrame:
+    """(sig, members) of the records whose id may be in the filter."""
+    shared = texts.sparkSession.sparkContext.broadcast(wanted)
+    mask = len(wanted) * 8 - 1
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cells = np.unpackbits(shared.value).view(bool)
+
+        def chosen() -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield batch.filter(pa.array(cells[batch.column("h").to_numpy() & mask]))
+
+        for _, hashes, offs in _sets(chosen(), k):
+            yield pa.RecordBatch.from_arrays([pa.array(set_signature(hashes, offs)), pa.array([hashes[a:b].tobytes() for a, b in zip(offs, offs[1:])], pa.binary())], ["sig", "members"])
+
+    return texts.select("title", "body", F.xxhash64("id").alias("h")).mapInArrow(sets, "sig bigint, members binary")
 
 
 def similar_sets(texts: DataFrame, threshold: float = THRESHOLD, k: int = WORDS, matches: int = MATCHES, sketch_bits: int = SKETCH_BITS, most: int = REGION_ROWS) -> tuple[DataFrame, DataFrame]:
     """(members (id, sig, n), pairs (a, b, similarity) of different sets). texts has id, title, body."""
+    spark = texts.sparkSession
+    buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     sketch = shingle_sketch(texts, k, sketch_bits)
-    rows = materialise(region_rows(texts, sketch, k, threshold, matches, most))
-    members = rows.select("id", "sig", "n").distinct()
-    sizes = rows.groupBy("sig").agg(F.max("n").alias("n"))
-    counted = region_pairs(rows, threshold, matches).groupBy("a", "b").agg(F.sum("hits").alias("hits"))
-    ratio = threshold / (1 + threshold)
-    # a pair of small sets needs fewer regions than matches; its sizes decide
-    likely = (counted.filter(F.col("hits") >= matches).select("a", "b")
-              .unionByName(_small_pairs(counted.filter(F.col("hits") < matches), sizes, matches, ratio)))
-    candidates = materialise(likely)
+    rows = materialise(region_rows(texts, sketch, k, threshold, matches, most, buckets))
+    members = rows.filter("bucket is null").select("id", "sig", "n").distinct()
+    counted = region_pairs(rows.filter("bucket is not null").select("bucket", "data"), threshold, matches, buckets)
+    candidates = materialise(counted.groupBy("a", "b").agg(F.max("need").alias("need"), F.sum("hits").alias("hits")).filter("hits >= need").select("a", "b"))
     chosen = candidates.select(F.explode(F.array("a", "b")).alias("sig")).distinct()
-    one = rows.filter(F.size("pivots") > 0).join(chosen, "sig", "left_semi").groupBy("sig").agg(F.min("id").alias("id"))
-    sets = materialise(record_sets(texts.join(one.select("id"), "id", "left_semi"), k).dropDuplicates(["sig"]))
+    one = members.join(chosen, "sig", "left_semi").groupBy("sig").agg(F.min("id").alias("id"))
+    sets = record_sets(texts, k, id_filter(one)).join(chosen, "sig", "left_semi").groupBy("sig").agg(F.first("members").alias("members"))
+    sets = materialise(sets)
     full = (candidates.join(sets.select(F.col("sig").alias("a"), F.col("members").alias("members_a")), "a")
             .join(sets.select(F.col("sig").alias("b"), F.col("members").alias("members_b")), "b"))
 
@@ -204,7 +298,8 @@ def similar_sets(texts: DataFrame, threshold: float = THRESHOLD, k: int = WORDS,
             similarity = np.empty(batch.num_rows)
             for i, (x, y) in enumerate(zip(batch.column("members_a"), batch.column("members_b"))):
                 x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                common = len(np.intersect1d(x, y, assume_unique=True))
+                both = np.sort(np.concatenate([x, y]))
+                common = int((both[1:] == both[:-1]).sum())
                 similarity[i] = common / (len(x) + len(y) - common)
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(similarity)], ["a", "b", "similarity"])
 
@@ -212,22 +307,6 @@ def similar_sets(texts: DataFrame, threshold: float = THRESHOLD, k: int = WORDS,
     return members, pairs.filter(F.col("similarity") >= threshold - 1e-12)
 
 
-def _small_pairs(counted: DataFrame, sizes: DataFrame, matches: int, ratio: float) -> DataFrame:
-    """Pairs with fewer hits than matches, whose sets are so small that their required overlap is no more than the hits."""
-    most = math.ceil(matches / ratio)
-    small = sizes.filter(F.col("n") < most)
-    return (counted.join(small.select(F.col("sig").alias("a"), F.col("n").alias("n_a")), "a").join(small.select(F.col("sig").alias("b"), F.col("n").alias("n_b")), "b")
-            .filter(F.col("hits") >= F.ceil((F.col("n_a") + F.col("n_b")) * F.lit(ratio) - 1e-9)).select("a", "b"))
-
-
-def record_sets(texts: DataFrame, k: int) -> DataFrame:
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, hashes, offs in _sets(batches, k):
-            yield pa.RecordBatch.from_arrays([pa.array(set_signature(hashes, offs)), pa.array([hashes[a:b].tobytes() for a, b in zip(offs, offs[1:])], pa.binary())], ["sig", "members"])
-
-    return texts.mapInArrow(sets, "sig bigint, members binary")
-
-
 def record_texts(records: DataFrame) -> DataFrame:
     return records.select("id", "title", F.col("body_text").alias("body"))
 

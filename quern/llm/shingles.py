@@ -9,6 +9,8 @@ import pyarrow.compute as pc
 from quern.llm import lookalike
 from quern.llm import textblocks as tb
 
+HASH_BITS = 48  # a chunk has fewer than 2**16 documents
+
 
 def word_hashes(cps: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(hash of every lower-case run of letters or digits, index of its document)."""
@@ -29,13 +31,13 @@ def shingle_sets(words: np.ndarray, document: np.ndarray, n_documents: int, k: i
         for i in range(1, k):
             h = tb.mix(h * np.uint64(0x9E3779B97F4A7C15) + words[i : n + i])
     inside = document[:n] == document[k - 1 :]
-    h, d = h[inside], document[:n][inside]
-    order = np.lexsort((h, d))
-    h, d = h[order], d[order]
-    keep = np.ones(len(h), bool)
-    keep[1:] = (h[1:] != h[:-1]) | (d[1:] != d[:-1])
-    h, d = h[keep], d[keep]
-    return h, np.searchsorted(d, np.arange(n_documents + 1))
+    # document and hash share a word, so that one plain sort puts the sets in order
+    key = document[:n][inside].astype(np.uint64) << np.uint64(HASH_BITS) | h[inside] >> np.uint64(64 - HASH_BITS)
+    key.sort()
+    if len(key):
+        key = key[np.append(True, key[1:] != key[:-1])]
+    offs = np.searchsorted(key, np.arange(n_documents + 1, dtype=np.uint64) << np.uint64(HASH_BITS)).astype(np.int64)
+    return key & np.uint64((1 << HASH_BITS) - 1), offs
 
 
 def batch_sets(title: pa.Array | None, body: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:

@@ -92,7 +92,7 @@ def chunks(batch: pa.RecordBatch, column: str, limit: int = CHUNK_CHARS) -> Iter
     if not batch.num_rows:
         return
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
-    part = np.cumsum(sizes) // limit
+    part = np.maximum(np.cumsum(sizes) // limit, np.arange(batch.num_rows) // 50_000)
     cuts = [0, *(np.flatnonzero(np.diff(part)) + 1), batch.num_rows]
     for a, b in zip(cuts, cuts[1:]):
         if b > a:
