@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm import bpe, liststuff, lookalike, neardup, packing, pageframe, sitelines
+from quern.llm import bpe, langid, liststuff, lookalike, neardup, packing, pageframe, sitelines
 from quern.runtime import table
 
 
@@ -20,6 +20,14 @@ def p1_cleaned(spark: SparkSession, d: str) -> DataFrame:
     return sitelines.cleaned(table(spark, d, "raw_documents"))
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return langid.found(table(spark, d, "raw_documents"), table(spark, d, "lang_samples"))
+
+
+def p2_languages(spark: SparkSession, d: str) -> DataFrame:
+    return langid.languages(table(spark, d, "raw_documents"), table(spark, d, "lang_samples"))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return pageframe.found(table(spark, d, "raw_documents"), table(spark, d, "lang_samples"))
 
@@ -57,5 +65,5 @@ def p9_containers(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack(table(spark, d, "documents"), capacities)
 
 
-QUERIES = {"p1_found": p1_found, "p1_blocks": p1_blocks, "p1_cleaned": p1_cleaned, "p3_found": p3_found, "p3_main_text": p3_main_text, "p4_found": p4_found, "p5_found": p5_found, "p5_canonical": p5_canonical, "p6_found": p6_found, "p6_groups": p6_groups, "p8_ids": p8_ids, "p9_containers": p9_containers}
+QUERIES = {"p1_found": p1_found, "p1_blocks": p1_blocks, "p1_cleaned": p1_cleaned, "p2_found": p2_found, "p2_languages": p2_languages, "p3_found": p3_found, "p3_main_text": p3_main_text, "p4_found": p4_found, "p5_found": p5_found, "p5_canonical": p5_canonical, "p6_found": p6_found, "p6_groups": p6_groups, "p8_ids": p8_ids, "p9_containers": p9_containers}
 ORACLE: dict[str, str] = {}
