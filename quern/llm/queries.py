@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm import bpe, langid, liststuff, lookalike, neardup, packing, pageframe, sitelines
+from quern.llm import bpe, cutoff, langid, liststuff, lookalike, neardup, packing, pageframe, sitelines
 from quern.runtime import table
 
 
@@ -56,6 +56,14 @@ def p6_groups(spark: SparkSession, d: str) -> DataFrame:
     return neardup.groups(table(spark, d, "raw_documents"))
 
 
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return cutoff.found(table(spark, d, "raw_documents"))
+
+
+def p7_rates(spark: SparkSession, d: str) -> DataFrame:
+    return cutoff.rates(table(spark, d, "raw_documents"))
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return bpe.encode_documents(table(spark, d, "documents"))
 
@@ -65,5 +73,5 @@ def p9_containers(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack(table(spark, d, "documents"), capacities)
 
 
-QUERIES = {"p1_found": p1_found, "p1_blocks": p1_blocks, "p1_cleaned": p1_cleaned, "p2_found": p2_found, "p2_languages": p2_languages, "p3_found": p3_found, "p3_main_text": p3_main_text, "p4_found": p4_found, "p5_found": p5_found, "p5_canonical": p5_canonical, "p6_found": p6_found, "p6_groups": p6_groups, "p8_ids": p8_ids, "p9_containers": p9_containers}
+QUERIES = {"p1_found": p1_found, "p1_blocks": p1_blocks, "p1_cleaned": p1_cleaned, "p2_found": p2_found, "p2_languages": p2_languages, "p3_found": p3_found, "p3_main_text": p3_main_text, "p4_found": p4_found, "p5_found": p5_found, "p5_canonical": p5_canonical, "p6_found": p6_found, "p6_groups": p6_groups, "p7_found": p7_found, "p7_rates": p7_rates, "p8_ids": p8_ids, "p9_containers": p9_containers}
 ORACLE: dict[str, str] = {}
