@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm import bpe, cutoff, langid, liststuff, lookalike, neardup, packing, pageframe, sitelines
+from quern.llm import abuse, bpe, cutoff, langid, liststuff, lookalike, neardup, packing, pageframe, sitelines
 from quern.runtime import table
 
 
@@ -73,5 +73,17 @@ def p9_containers(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack(table(spark, d, "documents"), capacities)
 
 
-QUERIES = {"p1_found": p1_found, "p1_blocks": p1_blocks, "p1_cleaned": p1_cleaned, "p2_found": p2_found, "p2_languages": p2_languages, "p3_found": p3_found, "p3_main_text": p3_main_text, "p4_found": p4_found, "p5_found": p5_found, "p5_canonical": p5_canonical, "p6_found": p6_found, "p6_groups": p6_groups, "p7_found": p7_found, "p7_rates": p7_rates, "p8_ids": p8_ids, "p9_containers": p9_containers}
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return abuse.found(table(spark, d, "documents"), table(spark, d, "abuse_examples"), table(spark, d, "lang_samples"))
+
+
+def p10_scores(spark: SparkSession, d: str) -> DataFrame:
+    return abuse.scores(table(spark, d, "documents"), table(spark, d, "abuse_examples"), table(spark, d, "lang_samples")).select("doc_id", "score", "label")
+
+
+def p10_rates(spark: SparkSession, d: str) -> DataFrame:
+    return abuse.rates(table(spark, d, "documents"), table(spark, d, "abuse_examples"), table(spark, d, "lang_samples"))
+
+
+QUERIES = {"p1_found": p1_found, "p1_blocks": p1_blocks, "p1_cleaned": p1_cleaned, "p2_found": p2_found, "p2_languages": p2_languages, "p3_found": p3_found, "p3_main_text": p3_main_text, "p4_found": p4_found, "p5_found": p5_found, "p5_canonical": p5_canonical, "p6_found": p6_found, "p6_groups": p6_groups, "p7_found": p7_found, "p7_rates": p7_rates, "p8_ids": p8_ids, "p9_containers": p9_containers, "p10_found": p10_found, "p10_scores": p10_scores, "p10_rates": p10_rates}
 ORACLE: dict[str, str] = {}
