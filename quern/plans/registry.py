@@ -1,4 +1,6 @@
 """All queries of the core, with their SQL twins."""
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from quern.plans import analytics_queries, fixture_queries, index_queries, search_queries
+
+QUERIES: dict = {**index_queries.QUERIES, **search_queries.QUERIES, **analytics_queries.QUERIES, **fixture_queries.QUERIES}
+ORACLE: dict = {**index_queries.ORACLE, **search_queries.ORACLE, **analytics_queries.ORACLE, **fixture_queries.ORACLE}
