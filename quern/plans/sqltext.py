@@ -24,16 +24,22 @@ def tokens(column: str, stop: bool = True) -> str:
     return f"list_filter({words}, lambda w: length(w) BETWEEN 1 AND 64" + (f" AND w NOT IN ({STOP}))" if stop else ")")
 
 
-TOKENS = f"""toks AS (SELECT id, {tokens('title')} AS t1, {tokens('headings')} AS t2, {tokens('description')} AS t3, {tokens('body_text')} AS t4 FROM docs),
-tokens AS (SELECT id, 'title' AS field, unnest(t1) AS term, generate_subscripts(t1, 1) - 1 AS position FROM toks UNION ALL SELECT id, 'headings', unnest(t2), generate_subscripts(t2, 1) - 1 FROM toks
- UNION ALL SELECT id, 'description', unnest(t3), generate_subscripts(t3, 1) - 1 FROM toks UNION ALL SELECT id, 'body', unnest(t4), generate_subscripts(t4, 1) - 1 FROM toks)"""
+def _field(name: str, column: str) -> str:
+    return f"SELECT id, '{name}' AS field, unnest(ws) AS w, generate_subscripts(ws, 1) AS o FROM (SELECT id, regexp_extract_all(coalesce({column}, ''), '[\\p{{L}}\\p{{N}}]+') AS ws FROM docs)"
 
-POSTINGS = """postings AS (SELECT term, id, count(*) AS tf, count(*) FILTER (field = 'title') AS tf_title, count(*) FILTER (field = 'headings') AS tf_headings,
+
+TOKENS = f"""words AS ({' UNION ALL '.join(_field(n, c) for n, c in (('title', 'title'), ('headings', 'headings'), ('description', 'description'), ('body', 'body_text')))}),
+folded AS (SELECT id, field, o, lower(translate(w, {q(FOLD_FROM)}, {q(FOLD_TO)})) AS term FROM words),
+tokens AS MATERIALIZED (SELECT id, field, term, row_number() OVER (PARTITION BY id, field ORDER BY o) - 1 AS position FROM folded WHERE length(term) BETWEEN 1 AND 64 AND term NOT IN ({STOP}))"""
+
+POSTINGS = """postings AS MATERIALIZED (SELECT term, id, count(*) AS tf, count(*) FILTER (field = 'title') AS tf_title, count(*) FILTER (field = 'headings') AS tf_headings,
  count(*) FILTER (field = 'description') AS tf_description, count(*) FILTER (field = 'body') AS tf_body FROM tokens GROUP BY term, id),
 dictionary AS (SELECT term, count(*) AS df, sum(tf) AS total_tf FROM postings GROUP BY term)"""
 
-META = """meta AS (SELECT id, url, title, description, language, last_modified, crawled_at, len(t1) AS len_title, len(t2) AS len_headings, len(t3) AS len_description, len(t4) AS len_body,
- len(t1) + len(t2) + len(t3) + len(t4) AS total_terms FROM docs JOIN toks USING (id)
+META = """sizes AS (SELECT id, count(*) FILTER (field = 'title') AS len_title, count(*) FILTER (field = 'headings') AS len_headings, count(*) FILTER (field = 'description') AS len_description,
+ count(*) FILTER (field = 'body') AS len_body, count(*) AS total_terms FROM tokens GROUP BY id),
+meta AS (SELECT id, url, title, description, language, last_modified, crawled_at, coalesce(len_title, 0) AS len_title, coalesce(len_headings, 0) AS len_headings, coalesce(len_description, 0) AS len_description,
+ coalesce(len_body, 0) AS len_body, coalesce(total_terms, 0) AS total_terms FROM docs LEFT JOIN sizes USING (id)
  WHERE trim(coalesce(title, '')) <> '' OR trim(coalesce(headings, '')) <> '' OR trim(coalesce(description, '')) <> '' OR trim(coalesce(body_text, '')) <> ''),
 stats AS (SELECT count(*) AS n_documents, sum(len_title) / count(*) AS avg_title, sum(len_headings) / count(*) AS avg_headings, sum(len_description) / count(*) AS avg_description,
  sum(len_body) / count(*) AS avg_body, sum(total_terms) / count(*) AS avg_length FROM meta)"""
