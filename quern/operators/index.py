@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quern.functions import text
+from quern.functions import text, urls
 from quern.sources import tables
 
 FIELDS = ("title", "headings", "description", "body")
@@ -36,7 +36,7 @@ def doc_meta(documents: DataFrame) -> DataFrame:
     some = F.lit(False)
     for f in FIELDS:
         some = some | (F.trim(F.coalesce(F.col("body_text" if f == "body" else f), F.lit(""))) != "")
-    m = documents.filter(some).select("id", "url", "title", "description", "language", "last_modified", "crawled_at", *[s.alias(f"len_{f}") for f, s in sizes.items()])
+    m = documents.filter(some).select("id", "url", "title", "description", "language", "last_modified", "crawled_at", urls.host(F.col("url")).alias("host"), F.lower(urls.part(F.col("url"), 4)).alias("path"), *[s.alias(f"len_{f}") for f, s in sizes.items()])
     return m.withColumn("total_terms", sum((F.col(f"len_{f}") for f in FIELDS), F.lit(0)))
 
 

@@ -75,11 +75,11 @@ def idf(df: Column, n: Column) -> Column:
 def matches(terms: DataFrame, parsed: DataFrame, postings: DataFrame, meta: DataFrame) -> DataFrame:
     """(query_id, id, ...): one row per query term and posting that passes the query's filters and holds no negated term. The query side is
     the small one; whether it is broadcast is left to its size at run time."""
-    hits = postings.join(terms, "term").join(meta.select("id", "url", "title", "description", "len_title", "len_headings", "len_description", "len_body", "last_modified", "crawled_at"), "id")
+    hits = postings.join(terms, "term").join(meta.select("id", "url", "host", "path", "title", "description", "len_title", "len_headings", "len_description", "len_body", "last_modified", "crawled_at"), "id")
     hits = hits.join(parsed.select("query_id", "site", "filetype", "intitle", "negated"), "query_id")
-    h = urls.host(F.col("url"))
+    h = F.col("host")
     passes = F.coalesce((h == F.col("site")) | h.endswith(F.concat(F.lit("."), F.col("site"))), F.col("site").isNull())
-    passes = passes & F.coalesce(F.lower(urls.part(F.col("url"), 4)).endswith(F.concat(F.lit("."), F.col("filetype"))), F.col("filetype").isNull())
+    passes = passes & F.coalesce(F.col("path").endswith(F.concat(F.lit("."), F.col("filetype"))), F.col("filetype").isNull())
     passes = passes & F.forall("intitle", lambda w: F.contains(F.lower(F.coalesce("title", F.lit(""))), w))
     out = hits.filter(passes)
     bad = parsed.select("query_id", F.explode("negated").alias("term")).join(postings.select("term", "id"), "term").select("query_id", "id").distinct()

@@ -17,7 +17,7 @@ TOP = 10
 def _base(spark, d):
     documents = tables.docs(spark, d)
     p, meta = index.postings(documents), index.doc_meta(documents)
-    parsed = search.parse(tables.queries(spark, d))
+    parsed = materialise(search.parse(tables.queries(spark, d)))  # read by several joins; one row a query
     return documents, p, meta, parsed
 
 
