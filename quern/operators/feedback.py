@@ -64,5 +64,5 @@ def latency(values: DataFrame, group: str, value: str, points: tuple = (0.5, 0.9
 
 def rate_windows(events: DataFrame, key: str, ts: str, seconds: int = 60, limit: int = 1) -> DataFrame:
     """(key, window_start, n, n_rejected): tumbling windows; requests beyond limit of a window are rejected."""
-    start = (F.floor(F.unix_seconds(ts) / seconds) * seconds).cast("bigint")
+    start = (F.floor(F.unix_seconds(F.col(ts).cast("timestamp")) / seconds) * seconds).cast("bigint")
     return events.groupBy(key, start.alias("window_start")).agg(F.count("*").alias("n")).withColumn("n_rejected", F.greatest(F.col("n") - limit, F.lit(0)))
