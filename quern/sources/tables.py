@@ -12,8 +12,10 @@ DOCUMENT_COLUMNS = ["url", "title", "headings", "description", "body_text", "lan
 
 
 def docs(spark: SparkSession, d: str) -> DataFrame:
-    """One row per record: repeated rows of an id are merged; the latest crawl counts."""
-    return table(spark, d, "raw_documents").groupBy("id").agg(*[F.max(c).alias(c) for c in DOCUMENT_COLUMNS])
+    """One row per record: repeated rows of an id are merged; the latest crawl counts. The number of partitions is set, since what
+    follows (tokens) is heavy for few bytes and would run in few tasks after coalescing; grouping reuses the partitioning."""
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return table(spark, d, "raw_documents").repartition(n, "id").groupBy("id").agg(*[F.max(c).alias(c) for c in DOCUMENT_COLUMNS])
 
 
 def queries(spark: SparkSession, d: str) -> DataFrame:
