@@ -1,8 +1,10 @@
 """Problem 4: pages of repeated keywords, bare links or tags instead of sentences.
 
-Phrases (two successive words of a line) are exploded over all pages and their hosts counted. A phrase on several hosts is
-part of the language: sentences are made of such phrases, lists of product names, tags and addresses are not, however
-often they repeat a keyword within the page. A word counts as list matter if it is part of a web address, or if too few of
+Phrases (two successive words of a line) of closed sentences are exploded over all pages and their hosts counted. A phrase
+in sentences of several hosts is part of the language: sentences are made of such phrases, lists of product names, tags and
+addresses are not, however often they repeat a keyword within the page. Keyword pages draw from a small stock of words, so
+that their phrases too reach several hosts as the corpus grows; what counts as a sentence is thus told within the page: it
+ends in a mark, has more words than dividers, and stands on a page that isn't made of a few words over and over. A word counts as list matter if it is part of a web address, or if too few of
 the words around it in its line belong to a replicated phrase; rows of tables (cells with numbers) count as neither. The
 list density of a page is the share of list matter among its words.
 
@@ -23,6 +25,8 @@ from quern.llm import textblocks as tb
 from quern.runtime import site_of
 
 MIN_HOSTS, FILTER_BITS, WINDOW, COVERED, DENSITY = 2, 24, 5, 0.34, 0.5
+SENTENCE_WORDS, WORDS_PER_DIVIDER, REPEATED = 4, 4, 0.3
+TERMINAL, DIVIDERS = ".!?…。", ",;|/#>»›·•*\t"
 
 
 def line_words(text: pa.Array):
@@ -44,9 +48,40 @@ def phrase_hashes(words: np.ndarray, line: np.ndarray) -> tuple[np.ndarray, np.n
     return h, line[:-1] == line[1:]
 
 
+def sentence_words(words: np.ndarray, begin: np.ndarray, end: np.ndarray, line: np.ndarray, document: np.ndarray, ends: np.ndarray, cps: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(whether a word is in a closed sentence, the number of its sentence): a mark of a sentence's end follows in the line, there are
+    SENTENCE_WORDS words at least and WORDS_PER_DIVIDER to each divider, and the three words that the page has most often make up at
+    most REPEATED of its words (their first occurrences aside)."""
+    mark = np.isin(cps, [ord(c) for c in TERMINAL])
+    inside = np.append((kind[1:] == tb.LETTER) | (kind[1:] == tb.MARK) | (kind[1:] == tb.DIGIT), False)
+    marks = np.append(np.flatnonzero(mark & (~inside | (cps == ord("。")))), len(cps))
+    number = np.searchsorted(marks, end)
+    closed = marks[number] < ends[line]
+    # words and dividers of the sentence, from its first word on
+    key = number * 2 + closed
+    first = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (line[1:] != line[:-1])))
+    size = np.diff(np.append(first, len(words)))
+    dividers = np.zeros(len(cps) + 1, np.int64)
+    np.cumsum(np.isin(cps, [ord(c) for c in DIVIDERS]), out=dividers[1:])
+    n_dividers = dividers[np.minimum(marks[number[first]], len(cps))] - dividers[begin[first]]
+    good = closed[first] & (size >= SENTENCE_WORDS) & (n_dividers * WORDS_PER_DIVIDER <= size)
+    # the page's three most frequent words
+    page = document[line]
+    order = np.lexsort((words, page))
+    w, d = words[order], page[order]
+    at = np.flatnonzero(np.append(True, (w[1:] != w[:-1]) | (d[1:] != d[:-1])))
+    count, owner = np.diff(np.append(at, len(w))), d[at]
+    order = np.lexsort((-count, owner))
+    count, owner = count[order], owner[order]
+    rank = np.arange(len(owner)) - np.searchsorted(owner, owner)
+    top = np.bincount(owner[rank < 3], (count - 1)[rank < 3], minlength=int(page[-1]) + 1)
+    good &= (top <= REPEATED * np.bincount(page))[page[first]]
+    return np.repeat(good, size), np.repeat(np.arange(len(first)), size)
+
+
 def phrase_hosts(pages: DataFrame) -> DataFrame:
-    """(phrase, low, high): the least and the greatest host hash of every phrase of pages (site, body_text); each task sends a phrase once
-    for every block of its rows."""
+    """(phrase, low, high): the least and the greatest host hash of every phrase in closed sentences of pages (site, body_text, sentence); where
+    sentence is set, the whole text counts. Each task sends a phrase once for every block of its rows."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -61,11 +96,13 @@ def phrase_hosts(pages: DataFrame) -> DataFrame:
 
         for batch in batches:
             for part in tb.chunks(batch, "body_text"):
-                words, _, _, line, (document, *_), _, _ = line_words(lookalike.canonical_array(part.column("body_text")))
+                words, begin, end, line, (document, _, _, ends), cps, kind = line_words(lookalike.canonical_array(part.column("body_text")))
                 if len(words) < 2:
                     continue
                 sites = part.column("site").to_numpy(zero_copy_only=False)
                 h, same = phrase_hashes(words, line)
+                good, number = sentence_words(words, begin, end, line, document, ends, cps, kind)
+                same &= (good[:-1] & (number[1:] == number[:-1])) | part.column("sentence").to_numpy(zero_copy_only=False)[document[line[:-1]]]
                 host = sites[document[line[:-1]]][same]
                 h = h[same].view(np.int64)
                 order = np.lexsort((host, h))
@@ -78,7 +115,7 @@ def phrase_hosts(pages: DataFrame) -> DataFrame:
         if held:
             yield flush()
 
-    hosts = pages.select(F.xxhash64("site").alias("site"), "body_text")
+    hosts = pages.select(F.xxhash64("site").alias("site"), "body_text", "sentence")
     return hosts.mapInArrow(scan, "phrase bigint, low bigint, high bigint").groupBy("phrase").agg(F.min("low").alias("low"), F.max("high").alias("high"))
 
 
@@ -158,9 +195,9 @@ def list_matter(text: pa.Array, known: np.ndarray, window: int = WINDOW, covered
 def densities(records: DataFrame, samples: DataFrame | None = None) -> DataFrame:
     """(id, n_words, n_list_words), one row per row of records. samples: sentences (text) that count as a host."""
     pages = records.select("id", F.coalesce(site_of(F.col("url")), F.lit("")).alias("site"), "body_text")
-    corpus = pages.select("site", "body_text")
+    corpus = pages.select("site", "body_text", F.lit(False).alias("sentence"))
     if samples is not None:
-        corpus = corpus.unionByName(samples.select(F.lit("#samples").alias("site"), F.col("text").alias("body_text")))
+        corpus = corpus.unionByName(samples.select(F.lit("#samples").alias("site"), F.col("text").alias("body_text"), F.lit(True).alias("sentence")))
     known = records.sparkSession.sparkContext.broadcast(np.packbits(phrase_filter(phrase_hosts(corpus))))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -167,6 +167,25 @@ def test_list_pages_and_frame(spark):
     assert {r.id: r.body_text for r in pageframe.main_text(d).collect()}["3"] == own[3]
 
 
+@pytest.mark.parametrize("pages", [12, 240])
+def test_keyword_pages_at_every_corpus_size(spark, pages):
+    rng = random.Random(4)
+    stock = "buy cheap free top shop sale best deal".split()
+
+    def name():
+        return "".join(rng.choice("ba ke li mo nu ra so ti".split()) for _ in range(4))
+
+    data = []
+    for i in range(pages):
+        keywords = [name(), name()]
+        items = [" ".join([rng.choice(stock), rng.choice(keywords), rng.choice(stock), rng.choice(stock)][: rng.choice([2, 3, 4])]) for _ in range(30)]
+        body = [" / ".join(items), ", ".join(items) + ".", "\n".join(items), " ".join(f"{x.capitalize()} {keywords[0]} {rng.choice(stock)} {keywords[1]}." for x in items)][i % 4]
+        data.append({"id": f"k{i}", "url": f"https://k{i % 7}.example/{i}", "body_text": body})
+        own = f"The {rng.choice(stock)} house stands near the {name()} and nobody lives there. We found the answer in a small book about {name()}."
+        data.append({"id": f"s{i}", "url": f"https://s{i % 7}.example/{i}", "body_text": own})
+    assert rows(liststuff.found(raw(spark, data))) == sorted((f"k{i}",) for i in range(pages))
+
+
 def test_hidden_limit_and_endings(spark):
     data = [{"id": str(i), "title": ("Some rather long headline number %d about things" % i)[:24] if i % 2 else "Short %d" % i, "description": "A finished sentence here. An unfinished one that", "body_text": "Complete text."} for i in range(40)]
     data += [{"id": "m", "title": "Marked...", "description": "All is well.", "body_text": "Debris at the e&am"}, {"id": "n"}]
