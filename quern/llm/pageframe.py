@@ -5,7 +5,7 @@ the label part before a divider (":", "|", "/", ">" and the like) and the rest.
 the same label; a node that finds its partner on enough pages of the host is constant and belongs to the template, and
 what a constant label part introduces is a slot. Since labels match by equality, the pages in which a node is constant
 are counted by aggregation over (host, label), which gives what aligning every page with every other would give for the
-nodes. Two kinds of node are constant: a line, by the sequence of its letters, and a label part, by that and its divider.
+nodes; copies of one page count as one page (sitelines.copy_votes). Two kinds of node are constant: a line, by the sequence of its letters, and a label part, by that and its divider.
 Slots without a label of their own (titles of other pages under a pointer line) are the lines like titles that stand
 between template lines, or between one and the end: an own heading has own text after it.
 """
@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quern.llm import liststuff, lookalike
+from quern.llm import liststuff, lookalike, sitelines
 from quern.llm import textblocks as tb
 from quern.runtime import materialise, site_of
 
@@ -30,9 +30,9 @@ TERMINAL = ".!?…。"
 
 
 def line_nodes(records: DataFrame) -> DataFrame:
-    """(id, site, line_no, line, label, title_like): the non-blank lines. line is the hash of the letters (0 without one), label that of the
+    """(id, site, line_no, line, label, title_like, share): the non-blank lines. line is the hash of the letters (0 without one), label that of the
     part before the first divider (null without one), title_like whether the line may be a title: words, no mark of a sentence's end, no
-    bullet, no cells."""
+    bullet, no cells; share is the line's of the page's letters, in millionths."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -74,36 +74,37 @@ def line_nodes(records: DataFrame) -> DataFrame:
                 np.cumsum(np.isin(cps, [124, 9, 123, 125, 59, 61, 40, 41, 64]), out=bars[1:])
                 title_like = (words >= 2) & ~np.isin(final, [ord(c) for c in TERMINAL + ",;:)]}\"”%"]) & ~np.isin(opening, [ord(c) for c in "-*•»>“\"{}<#"]) & (bars[ends] == bars[starts])
                 rows = pa.array(document)
+                share = np.rint(n_letters * 1e6 / np.maximum(np.bincount(document, n_letters, len(part)), 1)[document]).astype(np.int32)
                 line = np.where(n_letters > 0, line.view(np.int64), 0)
                 yield pa.RecordBatch.from_arrays(
                     [part.column("id").take(rows), part.column("site").take(rows), pa.array(number.astype(np.int32)), pa.array(line),
-                     pa.array(label.view(np.int64), mask=~has), pa.array(title_like)],
-                    ["id", "site", "line_no", "line", "label", "title_like"])
+                     pa.array(label.view(np.int64), mask=~has), pa.array(title_like), pa.array(share)],
+                    ["id", "site", "line_no", "line", "label", "title_like", "share"])
 
     kind = records.schema["id"].dataType.simpleString()
     return (records.select("id", F.coalesce(site_of(F.col("url")), F.lit("")).alias("site"), "body_text")
-            .mapInArrow(scan, f"id {kind}, site string, line_no int, line bigint, label bigint, title_like boolean"))
+            .mapInArrow(scan, f"id {kind}, site string, line_no int, line bigint, label bigint, title_like boolean, share int"))
 
 
 def constant_nodes(nodes: DataFrame, min_pages: int = MIN_PAGES, line_share: float = LINE_SHARE, label_share: float = LABEL_SHARE) -> DataFrame:
-    """(site, node, is_label, n_pages): nodes constant on at least min_pages pages of the host and on that share of its pages. Pages are
-    counted by (site, node, page) first, so that no task holds a host."""
+    """(site, node, is_label, n_pages): nodes constant on at least min_pages pages of the host and on that share of its pages, copies
+    of a page counted once. Pages are counted by (site, node, page) first, so that no task holds a host."""
     page = F.xxhash64("id").alias("page")
     pages = nodes.select("site", page).distinct().groupBy("site").agg(F.count("*").alias("pages"))
-    lines = nodes.filter("line != 0").select("site", F.col("line").alias("node"), F.lit(False).alias("is_label"), page)
-    labels = nodes.filter("label is not null").select("site", F.col("label").alias("node"), F.lit(True).alias("is_label"), page)
-    counted = lines.unionByName(labels).distinct().groupBy("site", "node", "is_label").agg(F.count("*").alias("n_pages"))
+    lines = nodes.filter("line != 0").select("site", F.col("line").alias("node"), F.lit(False).alias("is_label"), page, "share")
+    labels = nodes.filter("label is not null").select("site", F.col("label").alias("node"), F.lit(True).alias("is_label"), page, F.lit(0).alias("share"))
+    counted = sitelines.copy_votes(lines.unionByName(labels))
     share = F.when(F.col("is_label"), label_share).otherwise(line_share)
     return counted.filter(F.col("n_pages") >= min_pages).join(pages, "site").filter(F.col("n_pages") >= share * F.col("pages")).drop("pages")
 
 
 def frame_lines(records: DataFrame) -> DataFrame:
     """(id, line_no): the frame's lines of every page, list pages included."""
-    nodes = materialise(line_nodes(records))
+    nodes = materialise(line_nodes(records).withColumn("site", F.xxhash64("site")))
     constant = constant_nodes(nodes)
     lines = constant.filter("not is_label").select("site", F.col("node").alias("line"), F.lit(True).alias("line_constant"))
     labels = constant.filter("is_label").select("site", F.col("node").alias("label"), F.lit(True).alias("label_constant"))
-    marked = (nodes.distinct().join(lines, ["site", "line"], "left").join(labels, ["site", "label"], "left")
+    marked = (nodes.drop("share").distinct().join(lines, ["site", "line"], "left").join(labels, ["site", "label"], "left")
               .withColumn("template", F.coalesce("line_constant", "label_constant", F.lit(False))))
     order = W.partitionBy("id").orderBy("line_no")
     solid = F.when(~F.col("title_like") | F.col("template"), F.col("template"))

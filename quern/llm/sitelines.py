@@ -21,7 +21,7 @@ from quern.llm import lookalike
 from quern.llm import textblocks as tb
 from quern.runtime import materialise, site_of
 
-MIN_DOCUMENTS, MAX_LINES = 8, 32
+MIN_DOCUMENTS, MAX_LINES, COPY_SHARE = 8, 32, 0.6
 
 
 def line_rows(records: DataFrame) -> DataFrame:
@@ -58,6 +58,38 @@ def repeated_lines(rows: DataFrame, min_documents: int = MIN_DOCUMENTS) -> DataF
             .groupBy("site", "line").agg(F.count("*").alias("n_documents")).filter(F.col("n_documents") >= min_documents))
 
 
+def copy_votes(nodes: DataFrame) -> DataFrame:
+    """(site, node, is_label, n_pages): on how many pages of the site a node stands, copies of a page together as one. nodes has a row
+    (site, node, is_label, page, share) per node of a page: share is that of the node in the page's letters, in millionths. Seen from a node, a page is a
+    copy if lines that at least half as many pages hold make up COPY_SHARE of its letters: around the lines of a template every page has a
+    text of its own, while copies share that too. Nodes of one page only give no row."""
+
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("nodes")
+            sizes = lists.value_lengths().to_numpy(zero_copy_only=False)
+            if not len(sizes) or not sizes.sum():
+                continue
+            flat = lists.flatten()
+            n, share = (flat.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("n", "share"))
+            owner = np.repeat(np.arange(len(sizes)), sizes)
+            order = np.lexsort((-n, owner))
+            shared = np.append(0, np.cumsum(share[order]))
+            key = (owner << 40) - n  # ascending in that order
+            upto = np.searchsorted(key[order], (owner << 40) - (n + 1) // 2, "right")
+            mass = shared[upto] - shared[(np.cumsum(sizes) - sizes)[owner]]
+            copy = mass >= COPY_SHARE * 1e6
+            yield pa.RecordBatch.from_arrays([batch.column("site").take(pa.array(owner)), flat.field("node"), flat.field("is_label"), pa.array(copy)], ["site", "node", "is_label", "copy"])
+
+    one = nodes.groupBy("site", "node", "is_label", "page").agg(F.max("share").alias("share"))
+    counted = one.groupBy("site", "node", "is_label").agg(F.count("*").alias("n")).filter("n > 1")
+    pages = (one.join(counted, ["site", "node", "is_label"]).groupBy("site", "page")
+             .agg(F.collect_list(F.struct("node", "is_label", "n", "share")).alias("nodes")))
+    kind = nodes.schema["site"].dataType.simpleString()
+    return (pages.mapInArrow(weigh, f"site {kind}, node bigint, is_label boolean, copy boolean").groupBy("site", "node", "is_label")
+            .agg((F.count_if(~F.col("copy")) + F.max(F.col("copy").cast("int"))).alias("n_pages")))
+
+
 def repeated_rows(rows: DataFrame, min_documents: int = MIN_DOCUMENTS) -> DataFrame:
     """The rows of line_rows whose line is repeated."""
     return rows.join(repeated_lines(rows, min_documents), ["site", "line"], "left_semi")

@@ -186,6 +186,22 @@ def test_keyword_pages_at_every_corpus_size(spark, pages):
     assert rows(liststuff.found(raw(spark, data))) == sorted((f"k{i}",) for i in range(pages))
 
 
+def test_copies_of_a_page_are_no_template(spark):
+    rng = random.Random(5)
+
+    def words(n):
+        return " ".join("".join(rng.choice("ba ke li mo nu ra so ti".split()) for _ in range(3)) for _ in range(n)).capitalize() + "."
+
+    data, want = [], []
+    paragraphs = [words(25) for _ in range(5)]
+    for i in range(24):  # a third of all rows are copies, each with a paragraph of its own instead of one of theirs
+        own = [words(25) for _ in range(5)] if i % 3 else [*paragraphs[: i // 3 % 5], words(25), *paragraphs[i // 3 % 5 + 1 :]]
+        data.append({"id": f"{i:02d}", "body_text": "\n".join(["Home | News | Contact", *own, "All rights reserved."])})
+        want += [(f"{i:02d}", 1), (f"{i:02d}", 7)]
+    d = raw(spark, data)
+    assert rows(pageframe.frame_lines(d)) == want
+
+
 def test_hidden_limit_and_endings(spark):
     data = [{"id": str(i), "title": ("Some rather long headline number %d about things" % i)[:24] if i % 2 else "Short %d" % i, "description": "A finished sentence here. An unfinished one that", "body_text": "Complete text."} for i in range(40)]
     data += [{"id": "m", "title": "Marked...", "description": "All is well.", "body_text": "Debris at the e&am"}, {"id": "n"}]
