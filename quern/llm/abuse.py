@@ -191,9 +191,8 @@ def lexicon() -> dict:
     for phrase in multi:
         words = [w for w in phrase.split(" ") if w not in common] or phrase.split(" ")
         anchors.setdefault(max(words, key=len), set()).add(phrase)
-    # a sentence without one of these cannot reach the threshold
-    telling = {t for t, e in (single | masked).items() if any(k in "ih" or k == "s" and w >= 0.4 for k, w in e)}
-    telling |= {a for a, phrases in anchors.items() if any(w >= 0.6 or k == "i" for p in phrases for k, w in multi[p])}
+    # weights add up, so that every term tells; a sentence without one of these scores 0
+    telling = set(single) | set(masked) | set(anchors)
     starts = {}
     for phrase in multi:
         starts.setdefault(phrase.split(" ")[0], []).append((phrase.split(" "), multi[phrase]))

@@ -219,6 +219,17 @@ def test_abuse_scores(spark):
     assert sum(r.n_documents for r in abuse.rates(d).collect()) == len(texts)
 
 
+def test_weights_of_small_terms_add_up(spark):
+    rng = random.Random(6)
+    small = [*abuse.SEXUAL, *abuse.DEGRADING, *abuse.GROUPS, *abuse.PHRASES, *abuse.PERSON]
+    texts = ["Hot lonely wives and singles on webcam tonight, no strings", "There is no place for immigrants, they must be driven out of town once and for all"]
+    texts += [" ".join(rng.choice(small).replace("_", " ") for _ in range(rng.randint(1, 4))) + rng.choice([".", " table. The lamp."]) for _ in range(200)]
+    d = spark.createDataFrame([(i, t, "s") for i, t in enumerate(texts)], "doc_id long, text string, source string")
+    got = {r.doc_id: (r.score, r.label) for r in abuse.scores(d).collect()}
+    assert got[0][0] >= 1 and got[1][0] >= 1
+    assert got == {i: abuse.text_score(t, {}) for i, t in enumerate(texts)}
+
+
 def test_trie_equals_brute_force():
     from quern.plans.search_queries import osa_distance
 
