@@ -4,8 +4,9 @@ Each document is a sequence of line identifiers (site, hash of the line's letter
 documents of the site hold can be in no repeated block and end the runs. Of the rest, the suffixes of every run are put
 in order, which is the site's suffix array; neighbours' common prefixes give the blocks. An interval of common prefix 1
 is one line; since a third of all rows may hold it, its documents are counted by an aggregation in two steps. Longer
-intervals lie within one pair of first lines; equal suffixes are counted together first, then each partition's sorted
-suffixes are read as a stream with a stack of open intervals.
+intervals lie within one pair of first lines; equal suffixes are counted together first, by their hashes, so that whole
+suffixes are made of distinct runs only; then each partition's sorted suffixes are read as a stream with a stack of open
+intervals. An interval whose suffixes all follow the same line is a part of a longer block and isn't reported.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from quern.llm import lookalike
 from quern.llm import textblocks as tb
 from quern.runtime import materialise, site_of
 
-MIN_DOCUMENTS, MAX_LINES, COPY_SHARE = 8, 32, 0.6
+MIN_DOCUMENTS, COPY_SHARE = 8, 0.6
 
 
 def line_rows(records: DataFrame) -> DataFrame:
@@ -95,45 +96,53 @@ def repeated_rows(rows: DataFrame, min_documents: int = MIN_DOCUMENTS) -> DataFr
     return rows.join(repeated_lines(rows, min_documents), ["site", "line"], "left_semi")
 
 
-def blocks(rows: DataFrame, min_documents: int = MIN_DOCUMENTS, max_lines: int = MAX_LINES) -> DataFrame:
+def blocks(rows: DataFrame, min_documents: int = MIN_DOCUMENTS) -> DataFrame:
     """(site, lines, n_lines, n_documents): the maximal blocks of two or more repeated lines that follow each other in at least
-    min_documents documents, blank lines aside; blocks of more than max_lines lines are reported by their first max_lines."""
+    min_documents documents, blank lines aside, however long. A block is maximal if no line that precedes or follows all its occurrences
+    is repeated with it; parts of it come out only where they occur elsewhere too."""
     from pyspark.sql import Window as W
 
     repeated = rows.join(repeated_lines(rows, min_documents), ["site", "line"], "left_semi")
     # runs of repeated lines: the ordinal among all lines with letters has no gap
     ordinal = rows.select("id", "line_no").distinct().withColumn("ordinal", F.row_number().over(W.partitionBy("id").orderBy("line_no")))
-    runs = (repeated.distinct().join(ordinal, ["id", "line_no"])
-            .withColumn("run", F.col("ordinal") - F.row_number().over(W.partitionBy("id").orderBy("line_no")))
-            .groupBy("site", "id", "run").agg(F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "line"))), lambda x: x["line"]).alias("lines"))
-            .filter(F.size("lines") > 1))
-    suffixes = (runs.select("site", "id", F.explode(F.transform(F.sequence(F.lit(1), F.size("lines") - 1), lambda i: F.slice("lines", i, max_lines))).alias("suffix"))
-                .groupBy("site", "suffix").agg(F.count_distinct(F.xxhash64("id")).alias("n"))
-                .select("site", F.element_at("suffix", 1).alias("first"), F.element_at("suffix", 2).alias("second"), "suffix", "n"))
+    runs = materialise(repeated.distinct().join(ordinal, ["id", "line_no"])
+                       .withColumn("run", F.col("ordinal") - F.row_number().over(W.partitionBy("id").orderBy("line_no")))
+                       .groupBy("site", "id", "run").agg(F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "line"))), lambda x: x["line"]).alias("lines"))
+                       .filter(F.size("lines") > 1).select("site", F.xxhash64("id").alias("page"), "lines"))
+    starts = F.sequence(F.lit(1), F.size("lines") - 1)
+    suffix = lambda i: F.slice("lines", i, F.size("lines"))
+    counted = (runs.select("site", "page", F.explode(F.transform(starts, lambda i: F.struct(F.xxhash64(suffix(i)).alias("key"), F.get("lines", i - 2).alias("before")))).alias("s"))
+               .groupBy("site", "s.key").agg(F.count_distinct("page").alias("n"), F.min("s.before").alias("low"), F.max("s.before").alias("high"), F.max(F.col("s.before").isNull()).alias("open"))
+               .select("site", "key", "n", F.when((F.col("low") == F.col("high")) & ~F.col("open"), F.col("low")).alias("before")))
+    suffixes = (runs.select("site", "lines").distinct().select("site", F.explode(F.transform(starts, suffix)).alias("suffix")).distinct()
+                .withColumn("key", F.xxhash64("suffix")).join(counted, ["site", "key"])
+                .select("site", F.element_at("suffix", 1).alias("first"), F.element_at("suffix", 2).alias("second"), "suffix", "n", "before"))
     ordered = suffixes.repartition("site", "first", "second").sortWithinPartitions("site", "suffix")
     return ordered.mapInArrow(_intervals(min_documents), "site string, lines array<bigint>, n_lines int, n_documents bigint")
 
 
 def _intervals(min_documents: int):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # stack of open intervals: [length of the common prefix, documents]; a document that holds a block twice counts twice here
-        stack: list[list[int]] = []
+        # stack of open intervals: [length of the common prefix, documents, line before all of them or None]; a document that holds a block twice
+        # counts twice here
+        stack: list[list] = []
         previous: list[int] = []
         site = None
         out: list[tuple] = []
 
         def close(down_to: int) -> None:
             while stack and stack[-1][0] > down_to:
-                length, count = stack.pop()
-                if count >= min_documents and length > 1:
+                length, count, before = stack.pop()
+                if count >= min_documents and length > 1 and before is None:
                     out.append((site, previous[:length], length, count))
                 if stack and stack[-1][0] >= down_to and stack[-1][0] > 0:
                     stack[-1][1] += count
+                    stack[-1][2] = before if stack[-1][2] == before else None
                 elif down_to > 0:
-                    stack.append([down_to, count])
+                    stack.append([down_to, count, before])
 
         for batch in batches:
-            for s, suffix, n in zip(batch.column("site").to_pylist(), batch.column("suffix").to_pylist(), batch.column("n").to_pylist()):
+            for s, suffix, n, before in zip(*(batch.column(c).to_pylist() for c in ("site", "suffix", "n", "before"))):
                 common = 0
                 if s == site:
                     for x, y in zip(previous, suffix):
@@ -142,7 +151,7 @@ def _intervals(min_documents: int):
                         common += 1
                 close(common)
                 site, previous = s, suffix
-                stack.append([len(suffix), n])
+                stack.append([len(suffix), n, before])
             if len(out) > 1000:
                 yield _blocks(out)
                 out.clear()

@@ -89,6 +89,18 @@ def test_blocks_span_documents(spark):
     assert [(x.n_lines, x.n_documents) for x in b] == [(2, 9)]
 
 
+def test_long_blocks_are_whole(spark):
+    def line(i):
+        return f"Clause {chr(97 + i // 26)}{chr(97 + i % 26)} holds"
+
+    notice = [line(i) for i in range(70)]
+    data = [{"id": str(i), "body_text": "\n".join([f"own {chr(97 + i) * 3}", *notice[:70 if i < 10 else 40], f"end {chr(97 + i) * 3}"])} for i in range(20)]
+    data += [{"id": f"p{i}", "body_text": "\n".join([*notice[5:8], f"last {chr(97 + i) * 4}"])} for i in range(9)]
+    b = sitelines.blocks(sitelines.line_rows(raw(spark, data))).collect()
+    assert sorted((x.n_lines, x.n_documents) for x in b) == [(3, 29), (40, 20), (70, 10)]
+    assert all(len(x.lines) == x.n_lines for x in b)
+
+
 # ---- problem 5
 
 def test_canonical_text_cases():
