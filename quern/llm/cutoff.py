@@ -190,7 +190,7 @@ def judged(records: DataFrame) -> DataFrame:
     rows = materialise(field_rows(records)).dropDuplicates(["id", "field"])
     rows = materialise(rows)
     limits = field_limits(rows).select("site", "field", "m", "limit")
-    repeated = sitelines.repeated_lines(sitelines.line_rows(records), FRAME_PAGES).select("site", "line", F.lit(True).alias("is_frame"))
+    repeated = sitelines.template_lines(records, FRAME_PAGES).withColumn("is_frame", F.lit(True))
     words = materialise(word_counts(records).filter(F.col("n") >= 2))
     # words that others begin with: every proper beginning of a frequent word
     beginnings = (words.filter(F.col("n") >= FREQUENT).select(F.explode(F.sequence(F.lit(1), F.length("text") - 1)).alias("k"), "text").filter("k >= 1 and length(text) > 1")

@@ -221,7 +221,7 @@ def languages(records: DataFrame, samples: DataFrame) -> DataFrame:
     rows = materialise(line_languages(records, model))
     simple = rows.filter("line_no = 0").select("id", "label", "words", "confidence").dropDuplicates(["id"])
     several = rows.filter("line_no > 0").dropDuplicates(["id", "line_no"])
-    repeated = sitelines.repeated_lines(sitelines.line_rows(records), FRAME_PAGES).select("site", "line")
+    repeated = sitelines.template_lines(records, FRAME_PAGES)
     own = materialise(several.join(repeated, ["site", "line"], "left_anti"))
     sums = [F.sum(F.element_at(c, i + 1)).alias(f"{c}{i}") for c in ("words", "any_words") for i in range(len(codes))]
     total, loose_total = (F.array(*[F.col(f"{c}{i}") for i in range(len(codes))]).alias(c) for c in ("words", "any_words"))

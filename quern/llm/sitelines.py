@@ -25,8 +25,9 @@ from quern.runtime import materialise, site_of
 MIN_DOCUMENTS, COPY_SHARE = 8, 0.6
 
 
-def line_rows(records: DataFrame) -> DataFrame:
-    """(id, site, line_no, line): every line that has a letter, by the hash of its letters in lower case. NULL sites count as one."""
+def line_rows(records: DataFrame, shares: bool = False) -> DataFrame:
+    """(id, site, line_no, line): every line that has a letter, by the hash of its letters in lower case. NULL sites count as one. With shares
+    also share, the line's of the body's letters in millionths."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -41,15 +42,16 @@ def line_rows(records: DataFrame) -> DataFrame:
                 np.cumsum(letter, out=before[1:])
                 some = before[ends] > before[starts]
                 document, number = document[some], number[some]
-                hashes, _ = tb.filtered_hashes(tb.lower_table()[at], letter, starts[some], ends[some])
+                hashes, n_letters = tb.filtered_hashes(tb.lower_table()[at], letter, starts[some], ends[some])
                 rows = pa.array(document)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("id").take(rows), part.column("site").take(rows), pa.array(number.astype(np.int32)), pa.array(hashes.view(np.int64))],
-                    ["id", "site", "line_no", "line"])
+                columns = [part.column("id").take(rows), part.column("site").take(rows), pa.array(number.astype(np.int32)), pa.array(hashes.view(np.int64))]
+                if shares:
+                    columns.append(pa.array(np.rint(n_letters * 1e6 / np.bincount(document, n_letters, len(part))[document]).astype(np.int32)))
+                yield pa.RecordBatch.from_arrays(columns, ["id", "site", "line_no", "line", "share"][: len(columns)])
 
     kind = records.schema["id"].dataType.simpleString()
     return (records.select("id", F.coalesce(site_of(F.col("url")), F.lit("")).alias("site"), "body_text")
-            .mapInArrow(scan, f"id {kind}, site string, line_no int, line bigint"))
+            .mapInArrow(scan, f"id {kind}, site string, line_no int, line bigint" + ", share int" * shares))
 
 
 def repeated_lines(rows: DataFrame, min_documents: int = MIN_DOCUMENTS) -> DataFrame:
@@ -91,6 +93,12 @@ def copy_votes(nodes: DataFrame) -> DataFrame:
             .agg((F.count_if(~F.col("copy")) + F.max(F.col("copy").cast("int"))).alias("n_pages")))
 
 
+def template_lines(records: DataFrame, min_pages: int) -> DataFrame:
+    """(site, line): lines on at least min_pages pages of the site, copies of a page counted once."""
+    nodes = line_rows(records, True).select("site", F.col("line").alias("node"), F.lit(False).alias("is_label"), F.xxhash64("id").alias("page"), "share")
+    return copy_votes(nodes).filter(F.col("n_pages") >= min_pages).select("site", F.col("node").alias("line"))
+
+
 def repeated_rows(rows: DataFrame, min_documents: int = MIN_DOCUMENTS) -> DataFrame:
     """The rows of line_rows whose line is repeated."""
     return rows.join(repeated_lines(rows, min_documents), ["site", "line"], "left_semi")

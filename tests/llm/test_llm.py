@@ -214,6 +214,14 @@ def test_copies_of_a_page_are_no_template(spark):
     assert rows(pageframe.frame_lines(d)) == want
 
 
+def test_copies_keep_languages_and_endings(spark):
+    en, de = " ".join(SENTENCES["en"] * 2), " ".join(SENTENCES["de"] * 2)
+    d = raw(spark, [{"id": str(i), "language": "en", "body_text": f"{en}\n{de}"} for i in range(4)])
+    assert rows(langid.found(d, samples(spark))) == sorted((str(i), n, k) for i in range(4) for n, k in ((1, "en"), (2, "de")))
+    d = raw(spark, [{"id": str(i), "body_text": "All is well here. The house near the"} for i in range(4)])
+    assert rows(cutoff.found(d)) == [(str(i), "body_text") for i in range(4)]
+
+
 def test_hidden_limit_and_endings(spark):
     data = [{"id": str(i), "title": ("Some rather long headline number %d about things" % i)[:24] if i % 2 else "Short %d" % i, "description": "A finished sentence here. An unfinished one that", "body_text": "Complete text."} for i in range(40)]
     data += [{"id": "m", "title": "Marked...", "description": "All is well.", "body_text": "Debris at the e&am"}, {"id": "n"}]
