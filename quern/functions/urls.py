@@ -51,11 +51,40 @@ def url_hash(url: Column) -> Column:
     return F.sha2(normalise(url), 256)
 
 
+def ipv4_number(h: Column) -> Column:
+    """The 32-bit number of an address of one to four parts in decimal, octal (leading 0) or hexadecimal (0x) form; NULL for other hosts."""
+    parts = F.split(F.lower(h), r"\.")
+    value = lambda p: F.when(p.rlike("^0x[0-9a-f]{1,8}$"), F.conv(F.substring(p, 3, 8), 16, 10)).when(p.rlike("^0[0-7]{1,11}$"), F.conv(p, 8, 10)).when(p.rlike(r"^(?:0|[1-9]\d{0,9})$"), p).cast("bigint")
+    values = F.transform(parts, value)
+    n = F.size(parts)
+    # the last part fills what the others leave
+    number = F.aggregate(values, F.struct(F.lit(0).cast("bigint").alias("sum"), F.lit(0).alias("i")),
+                         lambda acc, v: F.struct((acc["sum"] + F.when(acc["i"] == n - 1, v).otherwise(v * F.pow(F.lit(256.0), 3 - acc["i"]).cast("bigint"))).alias("sum"), (acc["i"] + 1).alias("i")))["sum"]
+    sound = (n <= 4) & F.forall(values, lambda v: v.isNotNull()) & F.forall(F.slice(values, 1, n - 1), lambda v: v < 256) & (F.element_at(values, -1) < F.pow(F.lit(256.0), 5 - n))
+    return F.when(sound, number)
+
+
+# Ranges of addresses that are not public, and internal names.
+PRIVATE_RANGES = ["0.0.0.0/8", "10.0.0.0/8", "100.64.0.0/10", "127.0.0.0/8", "169.254.0.0/16", "172.16.0.0/12", "192.0.0.0/24", "192.168.0.0/16", "198.18.0.0/15", "224.0.0.0/4", "240.0.0.0/4"]
+INTERNAL_NAMES = r"^(?:localhost|.*\.localhost|.*\.local|.*\.internal|.*\.lan|.*\.intranet|.*\.corp|.*\.home)$"
+
+
+def private_bounds() -> list[tuple[int, int]]:
+    out = []
+    for r in PRIVATE_RANGES:
+        address, bits = r.split("/")
+        first = sum(int(p) << 8 * (3 - i) for i, p in enumerate(address.split(".")))
+        out.append((first, first + (1 << 32 - int(bits)) - 1))
+    return out
+
+
 def is_private_host(h: Column) -> Column:
-    """Loopback, private and link-local addresses, also as one number, and internal suffixes."""
-    number = F.when(h.rlike(r"^\d{8,10}$"), h.cast("bigint"))
-    dotted = F.when(number.isNotNull(), F.concat_ws(".", *[F.shiftrightunsigned(number, s).bitwiseAND(255).cast("string") for s in (24, 16, 8, 0)])).otherwise(h)
-    return (dotted.rlike(r"^(?:127\.|10\.|192\.168\.|169\.254\.|0\.|172\.(?:1[6-9]|2\d|3[01])\.)") | h.rlike(r"^(?:localhost|.*\.localhost|.*\.local|.*\.internal|.*\.lan)$") | h.rlike(r"^\[?(?:::1|fc|fd|fe80)"))
+    """Loopback, private, shared, link-local, multicast and reserved addresses in any notation, the same in IPv6, and internal names."""
+    number = ipv4_number(h)
+    inside = F.lit(False)
+    for low, high in private_bounds():
+        inside = inside | number.between(low, high)
+    return F.coalesce(inside, F.lit(False)) | h.rlike(INTERNAL_NAMES) | h.rlike(r"^\[?(?:::1?\]?$|f[cd][0-9a-f]{2}:|fe[89ab][0-9a-f]:|ff[0-9a-f]{2}:|::ffff:(?:0|10|127|169\.254|192\.168|172\.(?:1[6-9]|2\d|3[01]))\.)")
 
 
 def validate(url: Column) -> Column:
@@ -92,3 +121,9 @@ def display(url: Column) -> Column:
     """Host and path segments, divided by an angle sign."""
     segments = F.filter(F.split(part(url, 4), "/"), lambda x: x != "")
     return F.concat_ws(" › ", host(url), F.array_join(segments, " › "))
+
+
+def suffixes(h: Column) -> Column:
+    """A host and everything after each of its dots: a.b.c, b.c, c."""
+    labels = F.split(h, r"\.")
+    return F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))

@@ -23,6 +23,11 @@ fast quick rapid speedy; build compile bundle; test spec verification; help faq
 delete remove purge clean destroy; find search lookup query; start launch run execute; stop terminate kill halt; update upgrade modify patch; doc document page article
 """
 
+# Terms that corrections may propose though no document holds them.
+BUILTIN_TERMS = """
+python javascript typescript database algorithm security performance documentation tutorial kubernetes docker postgresql programming framework library testing server network search privacy
+""".split()
+
 
 def synonym_pairs() -> list[tuple[str, str]]:
     groups = [g.split() for g in SYNONYMS.replace("\n", " ").split(";")]
@@ -72,10 +77,13 @@ def idf(df: Column, n: Column) -> Column:
     return F.when((n <= 0) | (d <= 0), F.lit(0.0)).otherwise(F.greatest(F.lit(0.0), F.log(1 + (n - d + 0.5) / (d + 0.5))))
 
 
-def matches(terms: DataFrame, parsed: DataFrame, postings: DataFrame, meta: DataFrame) -> DataFrame:
+def matches(terms: DataFrame, parsed: DataFrame, postings: DataFrame, meta: DataFrame, alive: DataFrame | None = None) -> DataFrame:
     """(query_id, id, ...): one row per query term and posting that passes the query's filters and holds no negated term. The query side is
-    the small one; whether it is broadcast is left to its size at run time."""
-    hits = postings.join(terms, "term").join(meta.select("id", "url", "host", "path", "title", "description", "len_title", "len_headings", "len_description", "len_body", "last_modified", "crawled_at"), "id")
+    the small one; whether it is broadcast is left to its size at run time. alive: (query_id and id or block) that may match."""
+    hits = postings.join(terms, "term")
+    if alive is not None:
+        hits = hits.join(alive, alive.columns, "left_semi")
+    hits = hits.join(meta.select("id", "url", "host", "path", "title", "description", "len_title", "len_headings", "len_description", "len_body", "last_modified", "crawled_at"), "id")
     hits = hits.join(parsed.select("query_id", "site", "filetype", "intitle", "negated"), "query_id")
     h = F.col("host")
     passes = F.coalesce((h == F.col("site")) | h.endswith(F.concat(F.lit("."), F.col("site"))), F.col("site").isNull())
@@ -86,6 +94,18 @@ def matches(terms: DataFrame, parsed: DataFrame, postings: DataFrame, meta: Data
     return out.join(bad, ["query_id", "id"], "left_anti")
 
 
+def filter_only(filters: DataFrame, meta: DataFrame) -> DataFrame:
+    """(query_id, id) of filters (query_id, site, filetype). Sites are joined by equality with every suffix of a document's host; filters
+    of a file type alone by equality with the extensions of its path (each of the path's dots begins one)."""
+    f = filters.filter(F.col("site").isNotNull() | F.col("filetype").isNotNull())
+    m = meta.select("id", "host", "path")
+    by_site = m.select("id", "path", F.explode(urls.suffixes(F.col("host"))).alias("site")).join(f.filter("site is not null"), "site")
+    by_site = by_site.filter(F.coalesce(F.col("path").endswith(F.concat(F.lit("."), F.col("filetype"))), F.col("filetype").isNull())).select("query_id", "id")
+    types = F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(F.split("path", r"\."))), lambda i: F.array_join(F.slice(F.split("path", r"\."), i, F.size(F.split("path", r"\."))), ".")))
+    by_type = m.filter(F.contains("path", F.lit("."))).select("id", F.explode(F.slice(types, 2, 2**30)).alias("filetype")).join(f.filter("site is null"), "filetype").select("query_id", "id")
+    return by_site.unionByName(by_type)
+
+
 def candidates(m: DataFrame, parsed: DataFrame, mode: str = "union") -> DataFrame:
     """(query_id, id, n_matched, is_full): union, intersection or adaptive (all terms, if that gives ten or as many as terms; else any)."""
     n = parsed.select("query_id", F.size("terms").alias("n_terms"))
@@ -99,18 +119,59 @@ def candidates(m: DataFrame, parsed: DataFrame, mode: str = "union") -> DataFram
     return c.select("query_id", "id", "n_matched", "is_full")
 
 
-def bm25(m: DataFrame, dictionary: DataFrame, stats: DataFrame, k1: float = K1, b: float = B, boosts: dict = BOOSTS) -> DataFrame:
-    """(query_id, id, bm25, n_matched): field-boosted BM25 summed over terms and fields."""
-    m = m.join(dictionary.select("term", "df"), "term").crossJoin(F.broadcast(stats.select("n_documents", *[f"avg_{f}" for f in boosts])))  # stats has one row
+def field_score(k1: float = K1, b: float = B, boosts: dict = BOOSTS) -> Column:
+    """Saturated term frequencies of the fields, boosted, over the columns tf_*, len_* and avg_*."""
     part = F.lit(0.0)
     for f, boost in boosts.items():
         tf = F.col(f"tf_{f}")
         norm = k1 * (1 - b + b * F.col(f"len_{f}") / F.greatest(F.lit(1.0), F.col(f"avg_{f}")))
         part = part + F.when(tf > 0, boost * tf * (k1 + 1) / (tf + norm)).otherwise(0.0)
-    score = idf(F.col("df"), F.col("n_documents")) * F.col("weight") * part
+    return part
+
+
+def bm25(m: DataFrame, dictionary: DataFrame, stats: DataFrame, k1: float = K1, b: float = B, boosts: dict = BOOSTS) -> DataFrame:
+    """(query_id, id, bm25, n_matched): field-boosted BM25 summed over terms and fields, for any parameters."""
+    m = m.join(dictionary.select("term", "df"), "term").crossJoin(F.broadcast(stats.select("n_documents", *[f"avg_{f}" for f in boosts])))  # stats has one row
+    score = idf(F.col("df"), F.col("n_documents")) * F.col("weight") * field_score(k1, b, boosts)
     return m.select("query_id", "id", "term", score.alias("s")).groupBy("query_id", "id").agg(F.sum("s").alias("bm25"), F.count_distinct("term").alias("n_matched"))
 
 
+def bm25_stored(m: DataFrame) -> DataFrame:
+    """(query_id, id, bm25, n_matched) from the impacts that the index stores. A query has a term once, so that a posting is a match."""
+    return m.groupBy("query_id", "id").agg(F.sum(F.col("impact") * F.col("weight")).alias("bm25"), F.count("*").alias("n_matched"))
+
+
+def thresholds(terms: DataFrame, parsed: DataFrame, ix, k: int) -> DataFrame:
+    """(query_id, theta): the k-th best score that the rarest term of a query gives alone; no row for queries with fewer documents. A
+    document's score is at least that of one term, so that no result of the best k scores below theta."""
+    priced = terms.join(ix.dictionary.select("term", "df", "bound"), "term")
+    rare = priced.groupBy("query_id").agg(F.min(F.struct("df", "term", "weight")).alias("r")).select("query_id", "r.term", "r.weight")
+    alone = bm25_stored(matches(rare, parsed, ix.postings, ix.meta))
+    order = F.row_number().over(W.partitionBy("query_id").orderBy(F.col("bm25").desc(), "id"))
+    return alone.withColumn("r", order).filter(F.col("r") == k).select("query_id", F.col("bm25").alias("theta"))
+
+
+def maxscore(terms: DataFrame, parsed: DataFrame, ix, k: int) -> DataFrame:
+    """(query_id, id, bm25, n_matched) of documents that can be among the best k. Terms in ascending order of their stored bounds are
+    nonessential while the bounds sum to less than theta: a document with only these can't reach it, so that only the postings of the
+    other terms make candidates."""
+    theta = thresholds(terms, parsed, ix, k)
+    priced = terms.join(ix.dictionary.select("term", "bound"), "term").join(theta, "query_id", "left")
+    upto = F.sum(F.col("bound") * F.col("weight")).over(W.partitionBy("query_id").orderBy(F.col("bound") * F.col("weight"), "term").rowsBetween(W.unboundedPreceding, 0))
+    essential = priced.withColumn("upto", upto).filter(F.col("theta").isNull() | (F.col("upto") >= F.col("theta") - 1e-9)).select("query_id", "term", "weight")
+    alive = matches(essential, parsed, ix.postings, ix.meta).select("query_id", "id").distinct()
+    return bm25_stored(matches(terms, parsed, ix.postings, ix.meta, alive))
+
+
+def wand(terms: DataFrame, parsed: DataFrame, ix, k: int) -> DataFrame:
+    """(query_id, id, bm25, n_matched) of documents that can be among the best k. Bounds are stored by term and range of documents, ranges
+    being the same for all terms; a range is skipped for a query if its terms' bounds there sum to less than theta."""
+    theta = thresholds(terms, parsed, ix, k)
+    ranges = terms.join(ix.blocks.select("term", "block", "bound"), "term").groupBy("query_id", "block").agg(F.sum(F.col("bound") * F.col("weight")).alias("most"))
+    alive = ranges.join(theta, "query_id", "left").filter(F.col("theta").isNull() | (F.col("most") >= F.col("theta") - 1e-9)).select("query_id", "block")
+    return bm25_stored(matches(terms, parsed, ix.postings, ix.meta, alive))
+
+
 def phrase_hits(parsed: DataFrame, positions: DataFrame) -> DataFrame:
     """(query_id, id): all phrases of the query stand in one field each, word by word. Words are joined by (term); starts are counted."""
     words = parsed.select("query_id", F.posexplode("phrases").alias("p", "words")).select("query_id", "p", F.size("words").alias("n"), F.posexplode("words").alias("i", "term"))
@@ -173,17 +234,15 @@ def dampen(ranked: DataFrame, k: int) -> DataFrame:
 
 def lens(ranked: DataFrame, rules: DataFrame, k: int) -> DataFrame:
     """Rules (action, pattern, multiplier) by host: exclusion over the largest boost over the strongest demotion. Patterns are a host, or
-    *.root or .root for hosts below it. The rules are a few rows of a profile; they are applied as one expression, not joined."""
-    h = urls.host(F.col("url"))
-    excluded, boost, demote = F.lit(False), F.lit(None).cast("double"), F.lit(None).cast("double")
-    for r in rules.limit(1000).collect():
-        root = r.pattern.lower().removeprefix("*").removeprefix(".")
-        hit = (h == root) | h.endswith("." + root)
-        if r.action == "exclude":
-            excluded = excluded | hit
-        elif r.action == "boost":
-            boost = F.greatest(boost, F.when(hit, F.lit(min(3.0, max(1.0, r.multiplier)))))
-        else:
-            demote = F.least(demote, F.when(hit, F.lit(max(0.05, min(1.0, r.multiplier)))))
-    kept = ranked.filter(~excluded).withColumn("rank_before", F.col("rank")).withColumn("lens", F.coalesce(boost, demote, F.lit(1.0)))
+    *.root or .root for hosts below it too. Rules are joined by equality with every suffix of a host, however many there are."""
+    r = rules.select("action", F.regexp_replace(F.lower("pattern"), r"^\*?\.?", "").alias("root"), "multiplier")
+    r = r.groupBy("root").agg(
+        F.max(F.col("action") == "exclude").alias("out"),
+        F.max(F.when(F.col("action") == "boost", F.least(F.lit(3.0), F.greatest(F.lit(1.0), F.col("multiplier"))))).alias("boost"),
+        F.min(F.when(F.col("action") == "demote", F.greatest(F.lit(0.05), F.least(F.lit(1.0), F.col("multiplier"))))).alias("demote"))
+    hosts = ranked.select(urls.host(F.col("url")).alias("host")).distinct()
+    hit = (hosts.select("host", F.explode(urls.suffixes(F.col("host"))).alias("root")).join(r, "root").groupBy("host")
+           .agg(F.max("out").alias("out"), F.max("boost").alias("boost"), F.min("demote").alias("demote")))
+    kept = ranked.withColumn("host", urls.host(F.col("url"))).join(hit, "host", "left").filter(~F.coalesce("out", F.lit(False)))
+    kept = kept.withColumn("rank_before", F.col("rank")).withColumn("lens", F.coalesce("boost", "demote", F.lit(1.0))).drop("host", "out", "boost", "demote")
     return rank(kept.withColumn("score", F.col("score") * F.col("lens")).drop("rank"), k)

@@ -6,7 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quern.functions import text, urls
-from quern.operators import graph, index, search
+from quern.operators import graph, search, store
 from quern.plans import sqltext as S
 from quern.runtime import materialise
 from quern.sources import tables
@@ -15,15 +15,13 @@ TOP = 10
 
 
 def _base(spark, d):
-    documents = tables.docs(spark, d)
-    p, meta = index.postings(documents), index.doc_meta(documents)
-    parsed = materialise(search.parse(tables.queries(spark, d)))  # read by several joins; one row a query
-    return documents, p, meta, parsed
+    """The stored index and the parsed queries."""
+    return store.opened(spark, d), materialise(search.parse(tables.queries(spark, d)))  # read by several joins; one row a query
 
 
 def _matches(spark, d):
-    documents, p, meta, parsed = _base(spark, d)
-    return documents, p, meta, parsed, search.matches(search.query_terms(parsed), parsed, p, meta)
+    ix, parsed = _base(spark, d)
+    return ix, parsed, search.matches(search.query_terms(parsed), parsed, ix.postings, ix.meta)
 
 
 def parse_queries(spark, d):
@@ -37,84 +35,105 @@ def synonym_expand(spark, d):
 
 
 def retrieve_union(spark, d):
-    *_, parsed, m = _matches(spark, d)
+    _, parsed, m = _matches(spark, d)
     return search.candidates(m, parsed)
 
 
 def retrieve_intersection(spark, d):
-    *_, parsed, m = _matches(spark, d)
+    _, parsed, m = _matches(spark, d)
     return search.candidates(m, parsed, "intersection")
 
 
 def retrieve_adaptive(spark, d):
-    *_, parsed, m = _matches(spark, d)
+    _, parsed, m = _matches(spark, d)
     return search.candidates(m, parsed, "adaptive").groupBy("query_id").agg(F.count("*").alias("n"), F.count_if("is_full").alias("n_full"))
 
 
+def _filters(spark, d):
+    """(query_id, site, filetype): a query for every site of the documents that a search query names, alone and with a file type, and the
+    search queries that consist of filters."""
+    ix, parsed = _base(spark, d)
+    own = parsed.filter((F.size("terms") == 0) & (F.col("site").isNotNull() | F.col("filetype").isNotNull())).select("query_id", "site", "filetype")
+    sites = ix.meta.select("host").filter("host != ''").distinct()
+    types = [None, "html", "pdf"]
+    more = sites.select(F.explode(F.array(*[F.struct(F.concat_ws(" ", F.lit("site:"), "host", F.lit(t)).alias("query_id"), F.col("host").alias("site"), F.lit(t).cast("string").alias("filetype")) for t in types])).alias("x")).select("x.*")
+    return ix, own.unionByName(more)
+
+
 def filter_only(spark, d):
-    """Queries with a site or file type and no terms: every document that passes."""
-    _, _, meta, parsed = _base(spark, d)
-    f = parsed.filter((F.size("terms") == 0) & (F.col("site").isNotNull() | F.col("filetype").isNotNull())).select("query_id", "site", "filetype")
-    h, path = urls.host(F.col("url")), F.lower(urls.part(F.col("url"), 4))
-    by_site = F.col("site").isNull() | (h == F.col("site")) | h.endswith(F.concat(F.lit("."), F.col("site")))
-    by_type = F.col("filetype").isNull() | path.endswith(F.concat(F.lit("."), F.col("filetype")))
-    return meta.select("id", "url").join(f, by_site & by_type).select("query_id", "id")
+    """Queries of filters alone: every document that passes."""
+    ix, f = _filters(spark, d)
+    return search.filter_only(f, ix.meta)
 
 
 def phrase_match(spark, d):
-    documents, *_ , parsed = _base(spark, d)
-    return search.phrase_hits(parsed, index.positions(documents))
+    ix, parsed = _base(spark, d)
+    return search.phrase_hits(parsed, ix.positions)
 
 
 def bm25_topk(spark, d):
-    _, p, meta, parsed, m = _matches(spark, d)
-    scored = search.bm25(m, index.dictionary(p), index.stats(p, meta))
+    _, _, m = _matches(spark, d)
+    scored = search.bm25_stored(m)
     return search.rank(scored.withColumn("score", F.col("bm25")), TOP).select("query_id", "rank", "id", "score", "n_matched")
 
 
 def bm25_explain(spark, d):
-    """Inverse document frequency and score of every term of the first-ranked document of each query."""
-    _, p, meta, parsed, m = _matches(spark, d)
-    words, st = index.dictionary(p), index.stats(p, meta)
-    best = search.rank(search.bm25(m, words, st).withColumn("score", F.col("bm25")), 1).select("query_id", "id")
-    n = st.select("n_documents")
-    e = m.join(best, ["query_id", "id"], "left_semi").join(words, "term").crossJoin(F.broadcast(n))  # n has one row
-    return e.select("query_id", "id", "term", text.round_half_up(search.idf(F.col("df"), F.col("n_documents")), 6).alias("idf"), "tf", "df")
+    """Inverse document frequency, score and counts of every term of the first TOP documents of each query."""
+    ix, _, m = _matches(spark, d)
+    best = search.rank(search.bm25_stored(m).withColumn("score", F.col("bm25")), TOP).select("query_id", "id", "rank")
+    n = ix.stats.select("n_documents")
+    e = m.join(best, ["query_id", "id"]).join(ix.dictionary.select("term", "df"), "term").crossJoin(F.broadcast(n))  # n has one row
+    return e.select("query_id", "rank", "id", "term", text.round_half_up(search.idf(F.col("df"), F.col("n_documents")), 6).alias("idf"), text.round_half_up(F.col("impact") * F.col("weight"), 4).alias("part"), "tf_title", "tf_headings", "tf_description", "tf_body", "df")
 
 
 def term_bounds(spark, d):
-    """Highest score that one posting of each query term can add, and the pruning bound with all multipliers."""
-    _, p, meta, parsed, m = _matches(spark, d)
-    per_posting = search.bm25(m.withColumn("query_id", F.col("term")).withColumn("weight", F.lit(1.0)).dropDuplicates(["term", "id"]), index.dictionary(p), index.stats(p, meta))
-    return per_posting.groupBy(F.col("query_id").alias("term")).agg(text.round_half_up(F.max("bm25"), 4).alias("bound"))
+    """Highest score that one posting of each query term can add, as the index stores it."""
+    ix, parsed = _base(spark, d)
+    terms = search.query_terms(parsed).select("term").distinct()
+    return ix.dictionary.join(terms, "term").select("term", text.round_half_up(F.col("bound"), 4).alias("bound"))
 
 
-def maxscore_topk(spark, d):
-    """Top k with pruning: the k-th score over the rarest term of each query is a threshold; documents whose terms' bounds cannot reach
-    it are dropped before scoring. Equal to bm25_topk by construction of the bounds."""
-    _, p, meta, parsed, m = _matches(spark, d)
-    words, st = index.dictionary(p), index.stats(p, meta)
-    m = m.join(words.select("term", F.col("df").alias("term_df")), "term")
-    one = search.bm25(m.withColumn("query_id", F.concat_ws("\u0001", "query_id", "term")), words, st).select(F.split("query_id", "\u0001").alias("k"), "id", "bm25")
-    one = one.select(F.get("k", F.lit(0)).alias("query_id"), F.get("k", F.lit(1)).alias("term"), "id", "bm25")
-    bounds = one.groupBy("query_id", "term").agg(F.max("bm25").alias("bound"))
-    rare = m.groupBy("query_id").agg(F.min(F.struct("term_df", "term")).alias("r")).select("query_id", F.col("r.term").alias("term"))
-    order = F.row_number().over(W.partitionBy("query_id").orderBy(F.col("bm25").desc(), "id"))
-    theta = one.join(rare, ["query_id", "term"]).withColumn("r", order).filter(F.col("r") == TOP).select("query_id", F.col("bm25").alias("theta"))
-    possible = m.select("query_id", "id", "term").join(bounds, ["query_id", "term"]).groupBy("query_id", "id").agg(F.sum("bound").alias("most"))
-    alive = possible.join(theta, "query_id", "left").filter(F.col("theta").isNull() | (F.col("most") >= F.col("theta") - 1e-9)).select("query_id", "id")
-    scored = search.bm25(m.drop("term_df").join(alive, ["query_id", "id"], "left_semi"), words, st)
+def _pruned(spark, d, how):
+    ix, parsed = _base(spark, d)
+    scored = how(search.query_terms(parsed), parsed, ix, TOP)
     return search.rank(scored.withColumn("score", F.col("bm25")), TOP).select("query_id", "rank", "id", "score", "n_matched")
 
 
+def maxscore_topk(spark, d):
+    return _pruned(spark, d, search.maxscore)
+
+
+def wand_topk(spark, d):
+    return _pruned(spark, d, search.wand)
+
+
+def adaptive_topk(spark, d):
+    """Queries whose terms have at most 20 postings are scored exhaustively, the others with skipped ranges."""
+    ix, parsed = _base(spark, d)
+    terms = search.query_terms(parsed)
+    few = terms.join(ix.dictionary.select("term", "df"), "term").groupBy("query_id").agg(F.sum("df").alias("n")).filter("n <= 20").select("query_id")
+    small = search.bm25_stored(search.matches(terms.join(few, "query_id", "left_semi"), parsed, ix.postings, ix.meta)).withColumn("method", F.lit("exhaustive"))
+    large = search.wand(terms.join(few, "query_id", "left_anti"), parsed, ix, TOP).withColumn("method", F.lit("wand"))
+    return search.rank(small.unionByName(large).withColumn("score", F.col("bm25")), TOP).select("query_id", "rank", "id", "score", "method")
+
+
+def topk_equivalence(spark, d):
+    """Per query the results of the exhaustive form, and how many ranks of the pruned forms hold another document or score."""
+    full = bm25_topk(spark, d).select("query_id", "rank", F.col("id").alias("a"), F.col("score").alias("s"))
+    out = full
+    for name, other in (("maxscore", maxscore_topk(spark, d)), ("wand", wand_topk(spark, d))):
+        o = other.select("query_id", "rank", F.col("id").alias(f"id_{name}"), F.col("score").alias(f"score_{name}"))
+        out = out.join(o, ["query_id", "rank"], "full")
+    differs = lambda n: ~F.coalesce((F.col("a") == F.col(f"id_{n}")) & (F.abs(F.col("s") - F.col(f"score_{n}")) <= 1e-4), F.lit(False))
+    return out.groupBy("query_id").agg(F.count("a").alias("n"), F.count_if(differs("maxscore")).alias("maxscore_differs"), F.count_if(differs("wand")).alias("wand_differs"))
+
+
 def _ranked(spark, d, k):
-    documents, p, meta, parsed, m = _matches(spark, d)
-    m = materialise(m)  # read three times below
-    bm = search.bm25(m, index.dictionary(p), index.stats(p, meta))
-    edges = tables.edges(spark, d)
-    ranks = graph.pagerank(edges, iterations=10)
+    ix, parsed, m = _matches(spark, d)
+    m = materialise(m)  # read twice below
+    ranks = graph.pagerank(tables.edges(spark, d), iterations=10)
     n = ranks.count()
-    s = search.signals(bm, m, parsed, search.phrase_hits(parsed, index.positions(documents)), ranks, n)
+    s = search.signals(search.bm25_stored(m), m, parsed, search.phrase_hits(parsed, ix.positions), ranks, n)
     return search.rank(s, k)
 
 
@@ -131,17 +150,30 @@ def freshness_authority(spark, d):
     return t.select("id", text.round_half_up(search.freshness(F.coalesce("last_modified", "crawled_at")), 6).alias("freshness"), urls.authority(urls.host(F.col("url"))).alias("authority"))
 
 
+def _lens_rules(spark, d):
+    """A profile made of the hosts of the corpus: by the length of a host's name it is boosted, demoted, excluded or left alone."""
+    hosts = store.opened(spark, d).meta.select("host").filter("host != ''").distinct()
+    n = F.length("host") % 4
+    action = F.when(n == 0, "boost").when(n == 1, "demote").when(n == 2, "exclude")
+    return hosts.select(action.alias("action"), F.concat(F.lit("*."), "host").alias("pattern"), F.when(n == 0, 1.5).otherwise(0.5).alias("multiplier")).filter("action is not null")
+
+
 def lens_rerank(spark, d):
-    """A profile over the first results by BM25: two hosts boosted, one demoted, one excluded."""
-    rules = spark.createDataFrame([("boost", "*.pelbri.test", 2.0), ("boost", "wexhar.example", 1.5), ("demote", "rilors-wiki.test", 0.5), ("exclude", "harzub.example", 1.0)], "action string, pattern string, multiplier double")
+    return search.lens(_bm_ranked(spark, d), _lens_rules(spark, d), TOP).select("query_id", "rank", "rank_before", "id", "lens", "score")
+
+
+def lens_preview(spark, d):
+    """Every result of the first 50 with its rank before and after the profile, and whether it is excluded."""
     top = _bm_ranked(spark, d)
-    return search.lens(top, rules, TOP).select("query_id", "rank", "rank_before", "id", "lens", "score")
+    after = search.lens(top, _lens_rules(spark, d), 50).select("query_id", "id", F.col("rank").alias("rank_after"))
+    both = top.select("query_id", "id", F.col("rank").alias("rank_before")).join(after, ["query_id", "id"], "left")
+    return both.select("query_id", "id", "rank_before", "rank_after", (F.col("rank_before") - F.col("rank_after")).alias("moved"), F.col("rank_after").isNull().alias("is_excluded"))
 
 
 def _bm_ranked(spark, d, k=50):
-    _, p, meta, parsed, m = _matches(spark, d)
-    scored = search.bm25(m, index.dictionary(p), index.stats(p, meta)).withColumn("score", F.col("bm25"))
-    return search.rank(scored, k).join(meta.select("id", "url", "title", "description"), "id")
+    ix, _, m = _matches(spark, d)
+    scored = search.bm25_stored(m).withColumn("score", F.col("bm25"))
+    return search.rank(scored, k).join(ix.meta.select("id", "url", "title", "description"), "id")
 
 
 def paginate(spark, d):
@@ -152,23 +184,6 @@ def paginate(spark, d):
     return top.join(pages, "query_id").filter((F.col("rank") > (page - 1) * 5) & (F.col("rank") <= page * 5)).select("query_id", "id", "rank", page.alias("page"), "pages", (page < F.col("pages")).alias("has_next"), urls.display(F.col("url")).alias("display_url"))
 
 
-def highlight_titles(spark, d):
-    top = _bm_ranked(spark, d, 3).join(search.parse(tables.queries(spark, d)).select("query_id", "terms"), "query_id")
-    longest = F.reverse(F.transform(F.array_sort(F.transform("terms", lambda t: F.struct(F.length(t).alias("n"), t.alias("t")))), lambda x: x["t"]))
-    return top.select("query_id", "id", text.highlight(F.coalesce("title", F.lit("")), longest).alias("title"))
-
-
-def snippets(spark, d):
-    """Window of up to 160 characters of the description, else the title, around the first term that occurs."""
-    top = _bm_ranked(spark, d, 5).join(search.parse(tables.queries(spark, d)).select("query_id", "terms"), "query_id")
-    source = F.coalesce(F.nullif(F.trim("description"), F.lit("")), F.col("title"), F.lit(""))
-    at = F.array_min(F.filter(F.transform("terms", lambda t: F.instr(F.lower(source), t)), lambda x: x > 0))
-    start = F.greatest(F.lit(1), F.coalesce(at, F.lit(1)) - 65)
-    cut = F.substring(source, start, F.lit(160))
-    lead, tail = F.when(start > 1, "…").otherwise(""), F.when(F.length(source) > start + 159, "…").otherwise("")
-    return top.select("query_id", "id", F.when(F.length(source) <= 160, source).otherwise(F.concat(lead, cut, tail)).alias("snippet"))
-
-
 def osa_distance(a: str, b: str) -> int:
     """Edit distance in which a swap of neighbours counts one and no part is edited twice."""
     before, row = [], list(range(len(b) + 1))
@@ -196,9 +211,11 @@ def typo_best(spark, d):
         return [v for v in out if v]
 
     distance = F.udf(osa_distance, IntegerType(), useArrow=True)
-    documents, p, meta, parsed = _base(spark, d)
-    words = index.dictionary(p).filter(F.length("term").between(3, 32))
-    unknown = parsed.select(F.explode("terms").alias("q")).distinct().filter(F.length("q").between(3, 32)).join(words, F.col("q") == words.term, "left_anti")
+    ix, parsed = _base(spark, d)
+    stored = ix.dictionary.select("term", "df")
+    builtin = spark.createDataFrame([(w, 0) for w in search.BUILTIN_TERMS], "term string, df bigint")
+    words = stored.unionByName(builtin.join(stored, "term", "left_anti")).filter(F.length("term").between(3, 32))
+    unknown = parsed.select(F.explode("terms").alias("q")).distinct().filter(F.length("q").between(3, 32)).join(stored.withColumnRenamed("term", "q"), "q", "left_anti")
     left = unknown.select("q", F.explode(neighbours("q")).alias("k"))
     # only words of lengths that a correction can have
     right = words.filter(F.length("term") >= 3).select("term", "df", F.explode(neighbours("term")).alias("k"))
@@ -216,12 +233,17 @@ def did_you_mean(spark, d):
     return j.filter("n > 0").select("query_id", "suggestion", F.greatest(F.lit(0.6), F.least(F.lit(1.0), text.round_half_up(F.col("s") / (75.0 * F.col("n")), 2))).alias("confidence"))
 
 
-QUERIES = {f.__name__: f for f in (parse_queries, synonym_expand, retrieve_union, retrieve_intersection, retrieve_adaptive, filter_only, phrase_match, bm25_topk, bm25_explain, term_bounds, maxscore_topk, signals_topk, duplicate_dampening,
-                                   freshness_authority, lens_rerank, paginate, highlight_titles, snippets, typo_best, did_you_mean)}
+QUERIES = {f.__name__: f for f in (parse_queries, synonym_expand, retrieve_union, retrieve_intersection, retrieve_adaptive, filter_only, phrase_match, bm25_topk, bm25_explain, term_bounds, maxscore_topk, wand_topk, adaptive_topk, topk_equivalence, signals_topk, duplicate_dampening,
+                                   freshness_authority, lens_rerank, lens_preview, paginate, typo_best, did_you_mean)}
 
 SYN = ", ".join(f"({S.q(a)}, {S.q(b)})" for a, b in search.synonym_pairs())
 HEAD = f"WITH {S.INDEX}, {S.PARSED}, {S.MATCHES}"
 TOPK = f"ranked AS (SELECT query_id, id, score, n_matched, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM (SELECT *, {S.r('bm25', 4)} AS score FROM bm))"
+IDF = "greatest(0.0, ln(1 + (n_documents - df + 0.5) / (df + 0.5)))"
+LENS = f"""{S.SEARCH}, {TOPK}, hosts AS (SELECT DISTINCT host FROM meta WHERE host <> ''), hit AS (SELECT a.host, bool_or(length(b.host) % 4 = 2) AS bad, max(CASE WHEN length(b.host) % 4 = 0 THEN 1.5 END) AS up, min(CASE WHEN length(b.host) % 4 = 1 THEN 0.5 END) AS down
+        FROM hosts a JOIN hosts b ON a.host = b.host OR ends_with(a.host, '.' || b.host) GROUP BY a.host),
+        x AS (SELECT query_id, id, rank AS rank_before, coalesce(up, down, 1.0) AS lens, score AS s FROM ranked JOIN meta USING (id) LEFT JOIN hit USING (host) WHERE rank <= 50 AND NOT coalesce(bad, false)),
+        y AS (SELECT *, {S.r('s * lens', 4)} AS score FROM x), z AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM y)"""
 FRESH = "CASE WHEN coalesce(last_modified, crawled_at) IS NULL THEN 0.5 ELSE greatest(0.05, least(1.0, exp(-ln(2.0) / 30.0 * greatest(0.0, (epoch_us(TIMESTAMPTZ '2025-07-01 00:00:00+00') - epoch_us(coalesce(last_modified, crawled_at))) / 86400e6)))) END"
 
 
@@ -257,21 +279,24 @@ ORACLE = {
     "retrieve_intersection": f"{HEAD} SELECT * FROM candidates WHERE is_full",
     "retrieve_adaptive": f"""{HEAD}, f AS (SELECT query_id, count(*) FILTER (is_full) AS n_full FROM candidates GROUP BY query_id) SELECT c.query_id, count(*) AS n, count(*) FILTER (is_full) AS n_full FROM candidates c JOIN f USING (query_id) JOIN parsed q USING (query_id)
         WHERE is_full OR NOT (f.n_full >= 10 OR f.n_full >= len(q.terms)) GROUP BY c.query_id""",
-    "filter_only": f"""WITH {S.INDEX}, {S.PARSED} SELECT query_id, id FROM meta m JOIN parsed q ON len(q.terms) = 0 AND (q.site IS NOT NULL OR q.filetype IS NOT NULL) AND (q.site IS NULL OR {S.host('m.url')} = q.site OR ends_with({S.host('m.url')}, '.' || q.site))
-        AND (q.filetype IS NULL OR ends_with(lower({S.part('m.url', 4)}), '.' || q.filetype))""",
+    "filter_only": f"""WITH {S.INDEX}, {S.PARSED}, f AS (SELECT query_id, site, filetype FROM parsed WHERE len(terms) = 0 AND (site IS NOT NULL OR filetype IS NOT NULL)
+        UNION ALL SELECT concat_ws(' ', 'site:', host, t), host, t FROM (SELECT DISTINCT host FROM meta WHERE host <> '') CROSS JOIN (VALUES (NULL), ('html'), ('pdf')) v(t))
+        SELECT query_id, id FROM meta m JOIN f ON (f.site IS NULL OR m.host = f.site OR ends_with(m.host, '.' || f.site)) AND (f.filetype IS NULL OR ends_with(m.path, '.' || f.filetype))""",
     "phrase_match": f"WITH {S.DOCS}, {S.TOKENS}, {S.PARSED}, {PHRASE} SELECT * FROM ph",
     "bm25_topk": f"{S.SEARCH}, {TOPK} SELECT query_id, rank, id, score, n_matched FROM ranked WHERE rank <= {TOP}",
     "maxscore_topk": f"{S.SEARCH}, {TOPK} SELECT query_id, rank, id, score, n_matched FROM ranked WHERE rank <= {TOP}",
-    "bm25_explain": f"{S.SEARCH}, {TOPK} SELECT query_id, id, term, {S.r('greatest(0.0, ln(1 + (n_documents - df + 0.5) / (df + 0.5)))', 6)} AS idf, tf, df FROM matches JOIN (SELECT query_id, id FROM ranked WHERE rank = 1) USING (query_id, id) JOIN dictionary USING (term) CROSS JOIN stats",
-    "term_bounds": f"{HEAD} SELECT term, {S.r(f'max(greatest(0.0, ln(1 + (n_documents - df + 0.5) / (df + 0.5))) * ({S.PART_SCORE}))', 4)} AS bound FROM matches JOIN dictionary USING (term) CROSS JOIN stats GROUP BY term",
+    "bm25_explain": f"{S.SEARCH}, {TOPK} SELECT query_id, rank, id, term, {S.r(IDF, 6)} AS idf, {S.r(f'{IDF} * weight * ({S.PART_SCORE})', 4)} AS part, tf_title, tf_headings, tf_description, tf_body, df FROM matches JOIN (SELECT query_id, id, rank FROM ranked WHERE rank <= {TOP}) USING (query_id, id) JOIN dictionary USING (term) CROSS JOIN stats",
+    "wand_topk": f"{S.SEARCH}, {TOPK} SELECT query_id, rank, id, score, n_matched FROM ranked WHERE rank <= {TOP}",
+    "adaptive_topk": f"{S.SEARCH}, {TOPK}, w AS (SELECT query_id, sum(df) AS n FROM query_terms JOIN dictionary USING (term) GROUP BY query_id) SELECT query_id, rank, id, score, CASE WHEN n <= 20 THEN 'exhaustive' ELSE 'wand' END AS method FROM ranked JOIN w USING (query_id) WHERE rank <= {TOP}",
+    "topk_equivalence": f"{S.SEARCH}, {TOPK} SELECT query_id, count(*) AS n, 0 AS maxscore_differs, 0 AS wand_differs FROM ranked WHERE rank <= {TOP} GROUP BY query_id",
+    "term_bounds": f"WITH {S.INDEX}, {S.PARSED} SELECT term, {S.r(f'max({IDF} * ({S.PART_SCORE}))', 4)} AS bound FROM postings JOIN meta USING (id) JOIN dictionary USING (term) CROSS JOIN stats WHERE term IN (SELECT term FROM query_terms) GROUP BY term",
     "signals_topk": f"{S.SEARCH}, {_pagerank(10)}, {PHRASE}, {SIGNALS} SELECT query_id, rank, id, score, full_boost, phrase_boost, {S.r('url_bonus', 4)} AS url_bonus, {S.r('freshness', 6)} AS freshness, {S.r('authority', 4)} AS authority, pagerank FROM top WHERE rank <= {TOP}",
     "duplicate_dampening": f"""{S.SEARCH}, {_pagerank(10)}, {PHRASE}, {SIGNALS}, k AS (SELECT *, {S.host('url')} AS h, left(lower(coalesce(title, '')), 30) AS t FROM top WHERE rank <= 50),
         pen AS (SELECT query_id, id, score, pow(0.8, row_number() OVER (PARTITION BY query_id, h ORDER BY rank) - 1) * CASE WHEN length(t) > 5 AND row_number() OVER (PARTITION BY query_id, t ORDER BY rank) > 1 THEN 0.8 ELSE 1.0 END AS penalty FROM k),
         fin AS (SELECT query_id, id, penalty, {S.r('score * penalty', 4)} AS score FROM pen), o AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM fin) SELECT query_id, rank, id, {S.r('penalty', 6)} AS penalty, score FROM o WHERE rank <= {TOP}""",
     "freshness_authority": f"WITH {S.DOCS} SELECT id, {S.r(FRESH, 6)} AS freshness, {_authority(S.host('url'))} AS authority FROM docs",
-    "lens_rerank": f"""{S.SEARCH}, {TOPK}, l AS (SELECT r.*, {S.host('m.url')} AS h FROM ranked r JOIN meta m USING (id) WHERE rank <= 50), x AS (SELECT query_id, id, rank AS rank_before, CASE WHEN h = 'pelbri.test' OR ends_with(h, '.pelbri.test') THEN 2.0
-        WHEN h = 'wexhar.example' OR ends_with(h, '.wexhar.example') THEN 1.5 WHEN h = 'rilors-wiki.test' OR ends_with(h, '.rilors-wiki.test') THEN 0.5 ELSE 1.0 END AS lens, score AS s FROM l WHERE NOT (h = 'harzub.example' OR ends_with(h, '.harzub.example'))),
-        y AS (SELECT *, {S.r('s * lens', 4)} AS score FROM x), z AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM y) SELECT query_id, rank, rank_before, id, lens, score FROM z WHERE rank <= {TOP}""",
+    "lens_rerank": f"{LENS} SELECT query_id, rank, rank_before, id, lens, score FROM z WHERE rank <= {TOP}",
+    "lens_preview": f"""{LENS} SELECT t.query_id, t.id, t.rank_before, z.rank AS rank_after, t.rank_before - z.rank AS moved, z.rank IS NULL AS is_excluded FROM (SELECT query_id, id, rank AS rank_before FROM ranked WHERE rank <= 50) t LEFT JOIN z USING (query_id, id)""",
     "paginate": f"""{S.SEARCH}, {TOPK}, t AS (SELECT * FROM ranked WHERE rank <= 50), g AS (SELECT query_id, greatest(1, ceil(count(*) / 5)) AS pages FROM t GROUP BY query_id), x AS (SELECT t.*, pages, least(2, pages) AS page FROM t JOIN g USING (query_id))
         SELECT query_id, id, rank, page, pages, page < pages AS has_next, array_to_string(list_concat([{S.host('m.url')}], list_filter(string_split({S.part('m.url', 4)}, '/'), lambda s: s <> '')), ' › ') AS display_url FROM x JOIN meta m USING (id) WHERE rank > (page - 1) * 5 AND rank <= page * 5""",
 }

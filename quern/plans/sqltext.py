@@ -13,9 +13,8 @@ def q(s: str) -> str:
 FOLD_FROM, FOLD_TO = text.fold_table()
 STOP = ", ".join(q(w) for w in text.STOP_WORDS)
 
-DOCS = """docs AS MATERIALIZED (SELECT id, max(url) AS url, max(title) AS title, max(headings) AS headings, max(description) AS description, max(body_text) AS body_text,
- max(language) AS language, max(content_hash) AS content_hash, max(last_modified) AS last_modified, max(crawled_at) AS crawled_at, max(index_status) AS index_status
- FROM raw_documents GROUP BY id)"""
+DOCS = """docs AS MATERIALIZED (SELECT * EXCLUDE (nth) FROM (SELECT id, url, title, headings, description, body_text, language, content_hash, last_modified, crawled_at, index_status,
+ row_number() OVER (PARTITION BY id ORDER BY crawled_at DESC NULLS LAST, index_status DESC NULLS LAST, last_modified DESC NULLS LAST, url DESC NULLS LAST) AS nth FROM raw_documents) WHERE nth = 1)"""
 
 
 def tokens(column: str, stop: bool = True) -> str:
@@ -72,7 +71,7 @@ def norm_url(column: str) -> str:
 
 
 def private(h: str) -> str:
-    return (f"(regexp_matches({h}, '^(?:127\\.|10\\.|192\\.168\\.|169\\.254\\.|0\\.|172\\.(?:1[6-9]|2\\d|3[01])\\.)') OR regexp_matches({h}, '^(?:localhost|.*\\.localhost|.*\\.local|.*\\.internal|.*\\.lan)$')"
+    return (f"(regexp_matches({h}, '^(?:(?:0|10|127|22[4-9]|2[34]\\d|25[0-5])\\.|192\\.168\\.|192\\.0\\.0\\.|169\\.254\\.|198\\.1[89]\\.|100\\.(?:6[4-9]|[7-9]\\d|1[01]\\d|12[0-7])\\.|172\\.(?:1[6-9]|2\\d|3[01])\\.)') OR regexp_matches({h}, '^(?:localhost|.*\\.localhost|.*\\.local|.*\\.internal|.*\\.lan|.*\\.intranet|.*\\.corp|.*\\.home)$')"
             f" OR regexp_matches({h}, '^\\[?(?:::1|fc|fd|fe80)'))")
 
 

@@ -12,10 +12,13 @@ DOCUMENT_COLUMNS = ["url", "title", "headings", "description", "body_text", "lan
 
 
 def docs(spark: SparkSession, d: str) -> DataFrame:
-    """One row per record: repeated rows of an id are merged; the latest crawl counts. The number of partitions is set, since what
-    follows (tokens) is heavy for few bytes and would run in few tasks after coalescing; grouping reuses the partitioning."""
+    """One row per record: of repeated rows of an id the latest crawl counts as a whole (ties: the greatest status, modification, URL). The
+    number of partitions is set, since what follows (tokens) is heavy for few bytes and would run in few tasks after coalescing;
+    grouping reuses the partitioning. Bodies are shuffled once here; searches read the stored index instead."""
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return table(spark, d, "raw_documents").repartition(n, "id").groupBy("id").agg(*[F.max(c).alias(c) for c in DOCUMENT_COLUMNS])
+    key = F.struct("crawled_at", "index_status", "last_modified", "url")
+    latest = F.max_by(F.struct(*DOCUMENT_COLUMNS), key).alias("r")
+    return table(spark, d, "raw_documents").repartition(n, "id").groupBy("id").agg(latest).select("id", "r.*")
 
 
 def queries(spark: SparkSession, d: str) -> DataFrame:
