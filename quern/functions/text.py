@@ -45,6 +45,11 @@ def tokens(text: Column, stop_words: list[str] | None = None) -> Column:
     return F.filter(words, lambda w: keep(w) & ~F.array_contains(stop, w) if stop is not None else keep(w))
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with value computed once, however often body names it."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def normalise(text: Column, strip_punctuation: bool = False) -> Column:
     """Control characters to spaces, folded, lower case, white space collapsed and trimmed."""
     out = F.lower(fold(F.regexp_replace(text, r"[\x00-\x1F\x7F]", " ")))
@@ -83,7 +88,9 @@ def decode_numeric(text: Column) -> Column:
         code = F.when(p.rlike(r"^&#\d{1,7};$"), F.regexp_extract(p, r"(\d+)", 1).cast("int")).when(
             p.rlike(r"^&#[xX][0-9A-Fa-f]{1,6};$"), F.conv(F.regexp_extract(p, r"[xX]([0-9A-Fa-f]+)", 1), 16, 10).cast("int")
         )
-        utf16 = F.when(code < 0x10000, F.unhex(F.lpad(F.hex(code), 4, "0")))
+        high, low = 0xD800 + F.floor((code - 0x10000) / 1024), 0xDC00 + (code - 0x10000) % 1024
+        pair = F.concat(F.lpad(F.hex(high.cast("bigint")), 4, "0"), F.lpad(F.hex(low.cast("bigint")), 4, "0"))
+        utf16 = F.when(code.between(0xD800, 0xDFFF) | (code > 0x10FFFF) | (code == 0), F.lit(None)).otherwise(F.unhex(F.when(code < 0x10000, F.lpad(F.hex(code), 4, "0")).otherwise(pair)))
         return F.coalesce(F.decode(utf16, "UTF-16BE"), p)
 
     return F.array_join(F.transform(pieces, one), "")
@@ -121,6 +128,12 @@ def escape_html(text: Column) -> Column:
     return text
 
 
+def unescape_html(text: Column) -> Column:
+    for a, b in (("&#39;", "'"), ("&quot;", '"'), ("&gt;", ">"), ("&lt;", "<"), ("&amp;", "&")):
+        text = F.replace(text, F.lit(a), F.lit(b))
+    return text
+
+
 def highlight(text: Column, terms: Column) -> Column:
     """Escaped text with the terms (an array, longest first) in <mark>, without regard to case."""
     pattern = F.concat(F.lit("(?i)("), F.array_join(terms, "|"), F.lit(")"))

@@ -25,7 +25,7 @@ delete remove purge clean destroy; find search lookup query; start launch run ex
 
 # Terms that corrections may propose though no document holds them.
 BUILTIN_TERMS = """
-python javascript typescript database algorithm security performance documentation tutorial kubernetes docker postgresql programming framework library testing server network search privacy
+typescript javascript python golang rust database indexing crawler security privacy protocol network architecture serverless documentation tutorial reference software browser
 """.split()
 
 

@@ -1,99 +1,14 @@
-"""Queries on HTML, URLs, robots rules, trackers and scalar answers over small tables that are written here, and streams."""
+"""Hashes, colours, dates and streams."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quern.functions import text, urls
+from quern.functions import text
 from quern.plans import sqltext as S
 from quern.runtime import table
 from quern.streaming import jobs
 
-PAGES = [
-    (1, "https://ex.com/a/", "<html lang='en-GB'><head><title>First &amp; best</title><meta name='description' content='A page'><link rel='canonical' href='https://ex.com/a'></head><body><nav>Menu</nav><h1>Head</h1><p>Hello &lt;3 &#65;</p><script>x()</script><a href='/b'>B</a> <a href='https://other.org/c' rel='nofollow'>C</a><img src='https://doubleclick.net/p.gif' width='1' height='1'></body></html>"),
-    (2, "https://ex.com/b", "<html><head><meta property='og:title' content='Second'></head><body><h1>Two</h1><h2>Three</h2><div>Text one</div><div>Text two</div><a href='c.html'>C</a><a href='mailto:x@y.z'>Mail</a><script src='https://www.google-analytics.com/ga.js'></script></body></html>"),
-    (3, "https://news.bbc.co.uk/x", "<html><body><h1>Only heading</h1><footer>Foot</footer><p>Body&nbsp;text</p><a href='http://10.0.0.1/'>private</a><a href='#top'>top</a></body></html>"),
-    (4, "https://ex.com/empty", ""),
-]
-# Tracker domains with their categories.
-TRACKERS = {
-    "google-analytics.com": "analytics", "googletagmanager.com": "analytics", "hotjar.com": "session-recording", "fullstory.com": "session-recording", "segment.com": "analytics", "segment.io": "analytics", "mixpanel.com": "analytics",
-    "yandex.ru": "analytics", "clarity.ms": "session-recording", "chartbeat.com": "analytics", "doubleclick.net": "advertising", "googlesyndication.com": "advertising", "criteo.com": "advertising", "criteo.net": "advertising",
-    "taboola.com": "advertising", "outbrain.com": "advertising", "adnxs.com": "advertising", "adsrvr.org": "advertising", "amazon-adsystem.com": "advertising", "rubiconproject.com": "advertising", "pubmatic.com": "advertising",
-    "openx.net": "advertising", "facebook.net": "social", "facebook.com": "social", "tiktok.com": "social", "twitter.com": "social", "ads-twitter.com": "advertising", "scorecardresearch.com": "fingerprinting", "quantserve.com": "analytics",
-    "voicefive.com": "fingerprinting", "nr-data.net": "telemetry", "appsflyer.com": "analytics", "adjust.com": "analytics", "browser-intake-datadoghq.com": "telemetry", "sentry-cdn.com": "telemetry",
-}
-ROBOTS = [("ex.com", "disallow", "/private"), ("ex.com", "allow", "/private/open"), ("ex.com", "disallow", "/*.pdf$"), ("other.org", "disallow", "/")]
-PATHS = [("ex.com", "/private/x"), ("ex.com", "/private/open/y"), ("ex.com", "/a.pdf"), ("ex.com", "/a.pdf?x"), ("other.org", "/z"), ("third.net", "/any")]
-HOSTS = ["news.bbc.co.uk", "a.b.ex.com", "localhost", "127.0.0.1", "10.1.2.3", "3232235777", "x.internal", "ex.com"]
-CIDRS = [("192.168.1.10", 24), ("10.0.0.1", 8), ("172.16.5.4", 31), ("8.8.8.8", 32)]
-
-
-def _pages(spark):
-    return spark.createDataFrame(PAGES, "page_id bigint, url string, html string")
-
-
-def html_parse(spark, d):
-    h = F.col("html")
-    first = lambda pattern: text.inline_text(F.regexp_extract(h, pattern, 1))
-    title = F.coalesce(F.nullif(first(r"(?is)<title[^>]*>(.*?)</title>"), F.lit("")), F.nullif(first(r"(?i)<meta\s+property=['\"]og:title['\"]\s+content=['\"]([^'\"]*)"), F.lit("")), first(r"(?is)<h1[^>]*>(.*?)</h1>"))
-    headings = F.array_join(F.transform(F.regexp_extract_all(h, F.lit(r"(?is)<h[1-6][^>]*>(.*?)</h[1-6]>"), F.lit(1)), text.inline_text), " ")
-    canonical = F.coalesce(F.nullif(F.regexp_extract(h, r"(?i)<link\s+rel=['\"]canonical['\"]\s+href=['\"]([^'\"]*)", 1), F.lit("")), F.col("url"))
-    language = F.lower(F.regexp_extract(h, r"(?i)<html[^>]*\slang=['\"]([a-z]{2,3})", 1))
-    description = first(r"(?i)<meta\s+name=['\"]description['\"]\s+content=['\"]([^'\"]*)")
-    return _pages(spark).select("page_id", title.alias("title"), description.alias("description"), canonical.alias("canonical"), language.alias("language"), headings.alias("headings"), text.visible_text(h).alias("body"))
-
-
-def _resolve(base, href):
-    origin = F.concat(urls.scheme(base), F.lit("://"), urls.host(base))
-    folder = F.concat(origin, F.regexp_replace(urls.part(base, 4), "[^/]*$", ""))
-    return F.when(href.rlike("(?i)^https?://"), href).when(href.startswith("//"), F.concat(urls.scheme(base), F.lit(":"), href)).when(href.startswith("/"), F.concat(origin, href)).when(~href.rlike("(?i)^[a-z][a-z0-9+.-]*:|^#"), F.concat(folder, href))
-
-
-def html_links(spark, d):
-    pairs = F.posexplode(F.regexp_extract_all("html", F.lit(r"(?is)(<a\s[^>]*>.*?</a>)"), F.lit(1))).alias("pos", "a")
-    p = _pages(spark).select("page_id", "url", pairs)
-    href = F.regexp_extract("a", r"(?i)href=['\"]([^'\"]*)", 1)
-    p = p.select("page_id", "url", "pos", _resolve(F.col("url"), href).alias("to"), text.inline_text(F.col("a")).alias("anchor"), F.col("a").rlike("(?i)rel=['\"][^'\"]*(nofollow|ugc|sponsored)").alias("is_nofollow"))
-    p = p.filter(urls.validate(F.col("to")).isNull()).withColumn("to", urls.normalise(F.col("to")))
-    first = p.groupBy("page_id", "to").agg(F.min("pos").alias("pos"), F.min_by("anchor", "pos").alias("anchor"), F.min_by("is_nofollow", "pos").alias("is_nofollow"), F.first("url").alias("url"))
-    return first.select("page_id", "to", "anchor", "is_nofollow", (urls.host(F.col("to")) == urls.host(F.col("url"))).alias("is_internal"))
-
-
-def tracker_class(spark, d):
-    """Pages by the trackers among their third-party resources."""
-    r = _pages(spark).select("page_id", "url", F.explode_outer(F.regexp_extract_all("html", F.lit(r"(?i)<(?:script|img|iframe)\s[^>]*src=['\"]([^'\"]+)"), F.lit(1))).alias("src"))
-    domain = urls.registrable(urls.host(F.col("src")))
-    registry = F.create_map(*[F.lit(x) for p in TRACKERS.items() for x in p])
-    r = r.withColumn("category", F.element_at(registry, F.when(domain != urls.registrable(urls.host(F.col("url"))), domain)))
-    g = r.groupBy("page_id").agg(F.count("category").alias("n_trackers"), F.array_join(F.array_sort(F.collect_set("category")), ",").alias("categories"))
-    heavy = F.col("categories").rlike("fingerprinting|session-recording") | (F.col("n_trackers") >= 5)
-    return g.withColumn("multiplier", F.when(F.col("n_trackers") == 0, 1.015).when(heavy, 0.955).otherwise(0.9775))
-
-
-def robots_decision(spark, d):
-    rules = spark.createDataFrame(ROBOTS, "host string, kind string, pattern string")
-    paths = spark.createDataFrame(PATHS, "host string, path string")
-    regex = F.concat(F.lit("^"), F.regexp_replace(F.regexp_replace("pattern", r"([.?+()\[\]])", r"\\$1"), r"\*", ".*"))
-    hit = paths.join(rules.withColumn("regex", regex), "host").filter("path rlike regex")
-    best = hit.groupBy("host", "path").agg(F.max(F.struct(F.length("pattern").alias("n"), (F.col("kind") == "allow").alias("allow"))).alias("b"))
-    return paths.join(best, ["host", "path"], "left").select("host", "path", F.coalesce("b.allow", F.lit(True)).alias("allowed"))
-
-
-def host_checks(spark, d):
-    h = spark.createDataFrame([(x,) for x in HOSTS], "host string")
-    return h.select("host", urls.registrable(F.col("host")).alias("registrable"), urls.is_private_host(F.col("host")).alias("is_private"))
-
-
-def cidr_math(spark, d):
-    c = spark.createDataFrame(CIDRS, "ip string, bits int")
-    octets = F.split("ip", r"\.")
-    number = sum((F.get(octets, i).cast("bigint") * 256 ** (3 - i) for i in range(4)), F.lit(0).cast("bigint"))
-    size = F.pow(F.lit(2), 32 - F.col("bits")).cast("bigint")
-    net = number - number % size
-    hosts = F.when(F.col("bits") == 32, 1).when(F.col("bits") == 31, 2).otherwise(size - 2)
-    return c.select("ip", "bits", net.alias("network"), (net + size - 1).alias("broadcast"), hosts.cast("bigint").alias("hosts"))
-
 
 def hash_tools(spark, d):
     q = table(spark, d, "search_queries").filter("raw_query is not null")
@@ -122,14 +37,9 @@ def stream_dedup(spark, d):
     return jobs.run_available(jobs.first_feedback(jobs.read_stream(spark, d, "feedback")), "append").agg(F.count("*").alias("n"), F.count_distinct("feedback_id").alias("n_ids"))
 
 
-QUERIES = {f.__name__: f for f in (html_parse, html_links, tracker_class, robots_decision, host_checks, cidr_math, hash_tools, colour_convert, epoch_convert, stream_event_counts, stream_dedup)}
+QUERIES = {f.__name__: f for f in (hash_tools, colour_convert, epoch_convert, stream_event_counts, stream_dedup)}
 
-V = lambda rows: ", ".join("(" + ", ".join(S.q(x) if isinstance(x, str) else str(x) for x in r) + ")" for r in rows)
 ORACLE = {
-    "robots_decision": f"""WITH r(host, kind, pattern) AS (VALUES {V(ROBOTS)}), p(host, path) AS (VALUES {V(PATHS)}), h AS (SELECT p.*, max({{'n': length(pattern), 'allow': kind = 'allow'}}) AS b FROM p JOIN r ON p.host = r.host
-        AND regexp_matches(path, '^' || regexp_replace(regexp_replace(pattern, '([.?+()\\[\\]])', '\\\\\\1', 'g'), '\\*', '.*', 'g')) GROUP BY ALL) SELECT p.host, p.path, coalesce(h.b.allow, true) AS allowed FROM p LEFT JOIN h USING (host, path)""",
-    "cidr_math": f"""WITH c(ip, bits) AS (VALUES {V(CIDRS)}), n AS (SELECT *, list_sum(list_transform(string_split(ip, '.'), lambda x, i: x::BIGINT * pow(256, 4 - i)))::BIGINT AS num, pow(2, 32 - bits)::BIGINT AS size FROM c)
-        SELECT ip, bits, num - num % size AS network, num - num % size + size - 1 AS broadcast, CASE bits WHEN 32 THEN 1 WHEN 31 THEN 2 ELSE size - 2 END AS hosts FROM n""",
     "hash_tools": "SELECT query_id, md5(raw_query) AS md5, sha1(raw_query) AS sha1, sha256(raw_query) AS sha256, base64(encode(raw_query)) AS base64, lower(hex(encode(raw_query))) AS hex FROM search_queries WHERE raw_query IS NOT NULL",
     "colour_convert": "WITH c AS (SELECT DISTINCT left(id, 6) AS hex FROM raw_documents) SELECT hex, ('0x' || substr(hex, 1, 2))::INT AS r, ('0x' || substr(hex, 3, 2))::INT AS g, ('0x' || substr(hex, 5, 2))::INT AS b FROM c",
     "epoch_convert": "SELECT event_id, floor(epoch(ts))::BIGINT AS seconds, strftime(date_trunc('second', ts), '%Y-%m-%dT%H:%M:%S') AS iso FROM events",

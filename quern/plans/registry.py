@@ -1,6 +1,7 @@
 """All queries of the core, with their SQL twins."""
 
-from quern.plans import analytics_queries, fixture_queries, index_queries, search_queries
+from quern.plans import analytics_queries, fixture_queries, index_queries, instant_queries, search_queries, web_queries
 
-QUERIES: dict = {**index_queries.QUERIES, **search_queries.QUERIES, **analytics_queries.QUERIES, **fixture_queries.QUERIES}
-ORACLE: dict = {**index_queries.ORACLE, **search_queries.ORACLE, **analytics_queries.ORACLE, **fixture_queries.ORACLE}
+MODULES = (index_queries, search_queries, analytics_queries, fixture_queries, instant_queries, web_queries)
+QUERIES: dict = {name: f for m in MODULES for name, f in m.QUERIES.items()}
+ORACLE: dict = {name: sql for m in MODULES for name, sql in m.ORACLE.items()}
