@@ -1,11 +1,17 @@
 """Problem 10: abusive, hateful and sexually explicit text.
 
 The lexicon is a trie of folded terms. Each distinct token of the corpus is run against it once in a worker: a Levenshtein
-automaton of the token, intersected with the trie, gives the terms within one edit (none for short terms), after look-alike
-digits and signs, repeated letters and letters written apart are folded; an asterisk stands for any letter. Sentences that
-hold a hit are scored in context: insults count where they address or name somebody, degrading words where they are
-said of people, explicit words by their sum; quotation marks around a term, reported speech and harmless compounds take
-away. The score of a text is that of its worst sentence; from 1 it is a case.
+automaton of the token, intersected with the trie, gives the terms within one edit (terms of four letters or more), or two
+(of eight or more), after look-alike digits and signs, repeated letters and letters written apart are folded; an asterisk
+stands for any letter. A token that the corpus has more often than the term is a word of its own and no misspelling; tokens
+near a term are counted over all documents for that.
+
+Context windows separate quotation and neutral mention from abuse. A sentence with a hit is scored by classes of words and
+how they stand to each other: insults count where they address or name somebody; verbs of violence where a person or a part
+of the body follows within a few words; wishes of death or absence where they are aimed at a person; dehumanising words
+and demands where they are said of a group; explicit words by their sum. Quotation marks around a term, reported speech and
+harmless compounds take away. Word sequences of the labelled sample that only its harmful texts hold get a weight from
+their number there (fit_sequences). The score of a text is that of its worst sentence; from 1 it is a case.
 """
 
 from __future__ import annotations
@@ -25,20 +31,20 @@ from quern.llm import textblocks as tb
 
 THRESHOLD = 1.0
 
-# Lexicon. Terms are folded (lower case, no accents); phrases are divided by spaces.
+# Lexicon. Terms are folded (lower case, no accents); words of a phrase are divided by underscores.
 INSULTS = """
 idiot idiots moron bastard asshole arsehole shithead shitbag scumbag dumbass jackass dickhead douchebag fuckwit halfwit dimwit cretin imbecile loser wanker prick cunt bitch whore slut retarded
-motherfucker twat worm maggot clown pig scum piece_of_shit braindead_clown pathetic_worm waste_of_space
-arschloch vollidiot wichser hurensohn schlampe missgeburt drecksau trottel spast fotze idioten
-imbecile connard connasse salope encule batard abruti ordure cretine debile
-imbecil gilipollas cabron pendejo hijo_de_puta mierda puta zorra estupido subnormal
-coglione stronzo bastardo cretino deficiente idiota troia pezzo_di_merda testa_di_cazzo
-lixo otario babaca cuzao filho_da_puta desgracado vadia burro
-klootzak idioot eikel kutwijf hoer mongool debiel sukkel lul
-идиот урод мразь сволочь дебил тварь ублюдок сука дурак придурок кретин гнида тупица скотина
+motherfucker twat worm maggot clown pig swine scum piece_of_shit pathetic_worm waste_of_space waste_of_oxygen muppet pillock bellend tosser weirdo creep freak simpleton dunce numpty nitwit airhead lowlife degenerate son_of_a_bitch sack_of_shit
+arschloch vollidiot wichser hurensohn schlampe missgeburt drecksau trottel spast fotze idioten depp penner miststuck schwachkopf abschaum
+imbecile connard connasse salope encule batard abruti ordure cretine debile fils_de_pute sac_a_merde
+imbecil gilipollas cabron pendejo hijo_de_puta mierda puta zorra estupido subnormal maricon capullo
+coglione stronzo bastardo cretino deficiente idiota troia pezzo_di_merda testa_di_cazzo figlio_di_puttana
+lixo otario babaca cuzao filho_da_puta desgracado vadia burro arrombado
+klootzak idioot eikel kutwijf hoer mongool debiel sukkel lul trut
+идиот урод мразь сволочь дебил тварь ублюдок сука дурак придурок кретин гнида тупица скотина подонок мудак
 """.split()
 DEGRADING = """
-pathetic worthless stupid filthy disgusting damned fucking brainless braindead idiotic dumb vile wretched useless miserable
+pathetic worthless stupid filthy disgusting damned fucking brainless braindead idiotic dumb vile wretched useless miserable absolute complete utter ugly fat
 dumm dummes dummer dreckiger widerlicher erbarmlicher verdammter pauvre sale espece stupide maudit maldito asqueroso estupido
 schifoso maledetto stupido inutile nojento maldita achterlijke vuile domme stomme smerige тупой жалкий грязный мерзкий проклятый вонючий
 """.split()
@@ -47,41 +53,53 @@ you your yours yourself u du dich dir dein deine deinen euch ihr tu te toi ton t
 je jij jou jouw bent u ты тебя тебе твой твоя твои вы
 """.split()
 GROUPS = """
-immigrants refugees foreigners migrants women men muslims jews christians gays lesbians blacks whites gypsies asians africans believers people kind homosexuals disabled
+immigrants refugees foreigners migrants women muslims jews christians gays lesbians blacks whites gypsies asians africans believers homosexuals disabled
 auslander fluchtlinge migranten frauen juden muslime zigeuner etrangers immigres refugies femmes juifs musulmans extranjeros inmigrantes mujeres judios refugiados
 stranieri immigrati donne ebrei estrangeiros imigrantes mulheres judeus buitenlanders vluchtelingen vrouwen joden moslims иностранцы мигранты женщины евреи они их
 """.split()
 DEHUMAN = """
-vermin rats cockroaches parasites disease plague subhuman subhumans cleanse inferior animals
+vermin rats cockroaches parasites disease plague subhuman subhumans cleanse inferior animals filth savages leeches
 ungeziefer ratten parasiten verjagt vermine parasites rats dehors ratas parasitos echarlos escoria parassiti cacciati vermi vermes parasitas
 ongedierte parasieten паразиты паразитов гнать крысы нелюди
 """.split()
-# terms with weights: explicit or pornographic
+# demands against groups
+EXPEL = """
+deport exterminate eradicate expel drive_out driven_out lock_up throw_out kick_out get_rid_of wipe_out no_place_for do_not_deserve not_human not_people breed_like by_blood their_kind in_their_nature away_from_our go_back_to never_hire once_and_for_all leave_or_die good_thing_about
+raus_mit gehoren_alle_aus dehors_les hay_que_echarlos moeten_weg devem_sair vanno_cacciati гнать_их
+""".split()
+VIOLENCE = """
+kill murder stab slit break smash shoot burn choke strangle beat cut rape hang hurt hunt crush gut skin punch drown poison find slap
+""".split()
+INTENT = "will gonna going ll shall want wanna hope someone somebody should must can let come may".split()
+BODY = "throat neck legs fingers face head skull bones teeth arms knees eyes words tongue house family sleep".split()
+ABSENCE = "die dead disappear vanish vanished disappeared drop gone perish rot born crawl miss missed".split()
+WISH = "hope wish nobody noone no everyone favour favor better should please day".split()
+SHUT = """
+shut_up shut_your go_to_hell drop_dead get_lost kill_yourself rot_in_hell burn_in_hell choke_on_your know_where_you_live piss_off fuck_off fuck_you screw_you should_be_ashamed brains_were under_your_rock ever_let_you
+halt_die_fresse halt_die_klappe verpiss_dich ta_gueule va_te_faire te_deteste vete_al_infierno callate_ya sta_zitto stai_zitto vaffanculo cala_a_boca vai_se_foder desaparece_daqui hou_je_bek rot_op убирайся_отсюда заткнись пошел_вон
+""".split()
+# terms with weights: explicit or pornographic, or an offer
 SEXUAL = {
-    "porn": 0.7, "porno": 0.6, "pornos": 0.7, "hardcore": 0.5, "horny": 0.7, "nude": 0.5, "nudes": 0.7, "naked": 0.45, "xxx": 0.4, "orgy": 0.8, "blowjob": 1.0, "cumshot": 1.0,
-    "uncensored": 0.4, "fuck": 0.6, "fucks": 0.6, "singles": 0.25, "webcam": 0.2, "cam": 0.2, "amateurs": 0.25, "leak": 0.3, "breasts": 0.45, "moaned": 0.5, "kissed": 0.15, "erotic": 0.5, "escort": 0.4,
-    "sex_tape": 0.8, "dirty_pictures": 0.5, "wet_fantasies": 0.6, "adults_only": 0.3, "no_strings": 0.5, "bare_breasts": 0.6, "inside_me": 0.5, "inch_of_your_body": 0.6, "rode_him": 0.6, "rode_her": 0.6,
-    "both_came": 0.5, "tore_off": 0.3, "below_his_belt": 0.6, "hot": 0.2, "wives": 0.15, "lonely": 0.15, "taste": 0.15, "tonight": 0.1,
+    "porn": 0.7, "porno": 0.6, "pornos": 0.7, "hardcore": 0.5, "horny": 0.7, "nude": 0.5, "nudes": 0.7, "naked": 0.45, "xxx": 0.4, "orgy": 0.8, "blowjob": 1.0, "cumshot": 1.0, "tits": 0.6, "boobs": 0.6, "pussy": 0.7, "dildo": 0.8, "cumming": 0.9, "masturbate": 0.6,
+    "uncensored": 0.4, "fuck": 0.6, "fucks": 0.6, "fucked": 0.5, "singles": 0.25, "webcam": 0.2, "cam": 0.2, "amateurs": 0.25, "leak": 0.3, "breasts": 0.45, "moaned": 0.5, "kissed": 0.15, "erotic": 0.5, "escort": 0.4, "escorts": 0.5, "topless": 0.5, "hookup": 0.5, "live": 0.1,
+    "sex_tape": 0.8, "dirty_pictures": 0.5, "wet_fantasies": 0.6, "adults_only": 0.3, "no_strings": 0.5, "bare_breasts": 0.6, "inside_me": 0.5, "of_your_body": 0.5, "rode_him": 0.6, "rode_her": 0.6, "strip_show": 0.5,
+    "both_came": 0.5, "tore_off": 0.3, "his_belt": 0.4, "hot": 0.2, "wives": 0.15, "lonely": 0.15, "taste": 0.15, "tonight": 0.1,
     "nackte": 0.6, "heisse": 0.3, "geile": 0.7, "sexchat": 0.8, "ficken": 0.9, "nues": 0.5, "chaudes": 0.5, "gratuites": 0.1, "baise": 0.6, "desnudas": 0.6, "calientes": 0.5, "follar": 0.8, "gratis": 0.1,
     "nuda": 0.4, "calde": 0.4, "scopare": 0.8, "nuas": 0.5, "peladas": 0.6, "quentes": 0.4, "safadas": 0.8, "naakte": 0.6, "hete": 0.4, "neuken": 0.9, "порно": 0.7, "голые": 0.6, "секс": 0.5, "горячие": 0.4, "шлюхи": 0.8,
 }
-# phrases with weights: threats, dismissals and insults without a single term; group hatred
-PHRASES = {
-    "shut up": 0.5, "go to hell": 0.8, "choke on your": 1.0, "know where you live": 1.0, "you will regret": 0.7, "break your fingers": 1.0, "break your neck": 1.0, "break your legs": 1.0, "find you and": 0.5, "kill you": 1.0,
-    "kill yourself": 1.2, "nobody would miss you": 1.0, "would miss you if you": 0.8, "vanished tomorrow": 0.5, "favour and disappear": 1.0, "favor and disappear": 1.0, "day that you were born": 1.0, "you were born": 0.4, "should be ashamed": 0.6,
-    "ever let you near": 0.6, "crawl away": 0.7, "brains were petrol": 0.8, "under your rock": 0.6, "slit your": 1.0, "hope you die": 1.2, "watch you die": 1.0,
-    "halt die fresse": 1.0, "halt die klappe": 0.8, "verpiss dich": 1.0, "ta gueule": 1.0, "va te faire": 1.0, "te deteste": 0.5, "callate ya": 0.5, "vete al infierno": 1.0, "sta zitto": 0.6, "stai zitto": 0.6, "vattene": 0.4, "vaffanculo": 1.0, "cala a boca": 0.8,
-    "vai se foder": 1.0, "desaparece daqui": 0.6, "hou je bek": 1.0, "rot op": 0.6, "убирайся отсюда": 0.8, "заткнись": 0.8, "пошел вон": 0.8,
-    "breed like": 0.8, "like rats": 0.3, "not human": 0.7, "deserve any rights": 0.6, "criminals by blood": 1.0, "in their nature to": 1.0, "born inferior": 1.0, "away from our streets": 0.8, "they are a disease": 0.8, "leave or die": 1.0,
-    "driven out of": 0.5, "once and for all": 0.3, "no place for": 0.5, "feel it at every door": 0.7, "throw away the key": 0.4, "their kind": 0.4, "go back to where": 0.6, "gehoren alle aus": 0.6, "hay que echarlos": 0.6, "moeten weg uit": 0.6, "devem sair de": 0.5,
-    "vanno cacciati": 0.6, "dehors de": 0.4, "гнать их": 0.7,
-}
 # what makes a hit harmless: reported speech and talk about words, within the sentence
 REPORTING = """
 called condemned fined removed rule posts remarks word names label labelled meaning term quoted court banned reported denounced accused policy
 nannte verurteilt wort bezeichnete condamne traite mot llamo condeno palabra condannato parola chamou condenou palavra noemde veroordeeld woord назвал осудил слово
 """.split()
-HARMLESS = ["naked eye", "such as rats", "sex education", "sexual reproduction", "naked mole", "rats got into", "bastard names", "adults only the", "idiot proof", "naked truth", "xxx with", "stupid bug", "felt stupid", "hell of a", "zombie process"]
+# fields in which the terms are neutral: biology, medicine, techniques, figures of speech
+NEUTRAL = """
+naked_eye naked_truth naked_mole sex_education sexual_reproduction idiot_proof fool_proof such_as_rats rats_got lab_rats zombie_process child_process kill_the_process stop_the adults_only_the stupid_bug felt_stupid hell_of_a bastard_names xxx_with species gene virus patients infection
+""".split()
+COMMON = """
+you your to the a of and if were not in like be for at all every know go up no out should that day by me te de que uit dich back where is once would will let ever near it any their they are our from watch place
+with him her se al alle aus va op je ya i an as this what who must everyone here has have had do does did on only could der die das und ist hier jeder le la les et un une est tout le_monde el los las y son es het een en zijn o os e da
+""".split()
 
 LEET = str.maketrans("0134578@$!|€", "oieastbasiie")
 TOKEN = re.compile(r"[^\W_]+(?:[@$*!'’-]+[^\W_]+)*[*$]*|[@$*][^\W_]+(?:[@$*!-]*[^\W_]+)*")
@@ -92,7 +110,7 @@ def fold(token: str) -> str:
     joined; a letter three times or more once."""
     if token.isascii() and token.isalpha():
         return re.sub(r"(.)\1{2,}", r"\1", token.lower())
-    token = "".join(c for c in unicodedata.normalize("NFD", token.lower().replace("ß", "ss")) if not unicodedata.combining(c) or c == "̆" and False)
+    token = "".join(c for c in unicodedata.normalize("NFD", token.lower().replace("ß", "ss")) if not unicodedata.combining(c))
     if any(c.isalpha() for c in token) and not token.isalpha():
         if re.fullmatch(r"(?:\w[-.])+\w", token):
             token = re.sub(r"[-.]", "", token)
@@ -100,125 +118,160 @@ def fold(token: str) -> str:
     return re.sub(r"([^*])\1{2,}", r"\1", token)
 
 
+def deletions(cps: np.ndarray, offs: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(hash, index of the string) of every string with 0, then 1, up to most (2) characters taken out."""
+    n = np.diff(offs)
+    at = np.arange(len(cps)) - np.repeat(offs[:-1], n)
+    up, down = tb.powers(int(n.max(initial=0)) + 3)
+    with np.errstate(over="ignore"):
+        value = tb.mix(cps.astype(np.uint64) + np.uint64(1)) * up[at]
+        sums = []  # beginnings' sums, with what follows moved by 0, 1, 2 places
+        for shift in range(most + 1):
+            total = np.zeros(len(cps) + 1, np.uint64)
+            np.cumsum(value * down[shift], out=total[1:])
+            sums.append(total)
+        start, end = offs[:-1], offs[1:]
+        whole = np.arange(len(n))
+        yield tb.mix(sums[0][end] - sums[0][start]), whole
+        owner = np.repeat(whole, n)
+        i = np.arange(len(cps))
+        yield tb.mix(sums[0][i] - sums[0][start[owner]] + sums[1][end[owner]] - sums[1][i + 1]), owner
+        if most == 2:
+            rest = end[owner] - i - 1
+            k = tb.expand(i + 1, rest)
+            i, owner = np.repeat(i, rest), np.repeat(owner, rest)
+            yield tb.mix(sums[0][i] - sums[0][start[owner]] + sums[1][k] - sums[1][i + 1] + sums[2][end[owner]] - sums[2][k + 1]), owner
+
+
 class Trie:
-    """Folded single terms. near(token) gives the terms within the number of edits that their length allows."""
+    """Folded single terms. near(token) gives the terms within the number of edits that their length allows, in order of distance."""
 
     def __init__(self, terms):
         self.root: dict = {}
         self.terms = frozenset(terms)
-        self.heads, self.tails = set(), set()
-        self.swapped: dict[str, str] = {}  # terms whose halves are both touched by one swap
+        self.longest = max(map(len, self.terms), default=0)
         for term in self.terms:
             node = self.root
             for c in term:
                 node = node.setdefault(c, {})
             node[""] = term
-            if self.edits(term):
-                half = len(term) // 2
-                self.heads.add(term[:half])
-                self.tails.add(term[half:])
-                self.swapped.setdefault(term[: half - 1] + term[half] + term[half - 1] + term[half + 1 :], term)
-        self.head_sizes = sorted({len(h) for h in self.heads})
-        self.tail_sizes = sorted({len(t) for t in self.tails})
+        # strings within k edits share a form with at most k characters taken out
+        self.keys = []
+        for k in (1, 2):
+            chosen = sorted(t for t in self.terms if self.edits(t) == k)
+            cps, offs = tb.codepoints(pa.array(chosen, pa.string()))
+            self.keys.append(np.unique(np.concatenate([h for h, _ in deletions(cps, offs, k)])) if chosen else np.zeros(0, np.uint64))
 
     @staticmethod
     def edits(term: str) -> int:
-        return 0 if len(term) < 6 else 1
+        return 0 if len(term) < 4 else 1 if len(term) < 8 else 2
+
+    def possible(self, tokens: list[str]) -> np.ndarray:
+        """Which tokens a term can be near: sure to hold for every term that is near."""
+        out = np.array([t in self.terms or "*" in t for t in tokens], bool)
+        for k in (1, 2):
+            rows = [i for i, t in enumerate(tokens) if 4 * k - (k == 2) * 2 <= len(t) <= self.longest + 2]
+            if not rows or not len(self.keys[k - 1]):
+                continue
+            cps, offs = tb.codepoints(pa.array([tokens[i] for i in rows], pa.string()))
+            rows = np.array(rows)
+            for h, owner in deletions(cps, offs, k):
+                where = np.minimum(np.searchsorted(self.keys[k - 1], h), len(self.keys[k - 1]) - 1)
+                out[rows[owner[self.keys[k - 1][where] == h]]] = True
+        return out
 
     def near(self, token: str) -> list[tuple[str, int]]:
         if token in self.terms:
             return [(token, 0)]
-        if len(token) < 4 or len(token) > 24:
-            return []
-        # with one edit, one half of the term stands unchanged at its end of the token, unless the letters at the border are swapped
-        if token in self.swapped:
-            return [(self.swapped[token], 1)]
-        if "*" not in token and not (any(token[:n] in self.heads for n in self.head_sizes) or any(token[-n:] in self.tails for n in self.tail_sizes)):
-            return []
         if "*" in token:
             nodes = [self.root]
             for t in token:
                 nodes = [child for node in nodes for c, child in node.items() if c and (t == "*" or t == c)]
             return sorted((node[""], 0) for node in nodes if "" in node)
-        # states of the automaton are (characters of the token read, edits made); those without an edit lie on one path of the trie
-        n, out, node = len(token), {}, self.root
-
-        def rest(node: dict | None, i: int) -> None:
-            while node is not None and i < n:
-                node = node.get(token[i])
-                i += 1
-            if node is not None and "" in node and self.edits(node[""]):
-                out.setdefault(node[""], 1)
-
-        for i in range(n + 1):
-            here = token[i] if i < n else ""
-            if i < n:
-                rest(node, i + 1)
-            if i + 1 < n and token[i + 1] in node:
-                rest(node[token[i + 1]].get(here), i + 2)
-            following = token[i + 1] if i + 1 < n else ""
+        if len(token) < 4 or not self.possible([token])[0]:
+            return []
+        # the automaton's state after a path of the trie is the row of distances from the path to all beginnings of the token
+        out: dict[str, int] = {}
+        n = len(token)
+        stack = [(self.root, "", None, list(range(n + 1)))]
+        while stack:
+            node, letter, before, row = stack.pop()
             for c, child in node.items():
-                if c:
-                    if c != here and i < n and (following in child or i + 1 == n):
-                        rest(child, i + 1)
-                    if here in child or i == n:
-                        rest(child, i)
-            node = node.get(here) if here else None
-            if node is None:
-                break
+                if not c:
+                    continue
+                new = [row[0] + 1]
+                for j in range(1, n + 1):
+                    v = min(row[j] + 1, new[j - 1] + 1, row[j - 1] + (token[j - 1] != c))
+                    if before is not None and j > 1 and token[j - 1] == letter and token[j - 2] == c:
+                        v = min(v, before[j - 2] + 1)
+                    new.append(v)
+                if "" in child and 0 < new[n] <= self.edits(child[""]) and self.plausible(child[""], token):
+                    out[child[""]] = new[n]
+                if min(new) <= 2:
+                    stack.append((child, c, row, new))
         return sorted(out.items(), key=lambda x: (x[1], x[0]))
 
+    @staticmethod
+    def plausible(term: str, token: str) -> bool:
+        """Short terms have many neighbours: below six letters the first letter stays, and no letter is changed for another."""
+        return len(term) >= 6 or (token[0] == term[0] and (len(token) != len(term) or sorted(token) == sorted(term)))
+
 
 @lru_cache(1)
 def lexicon() -> dict:
-    single, multi = {}, {}
-    for kind, terms in (("i", INSULTS), ("d", DEGRADING), ("h", DEHUMAN)):
-        for t in terms:
-            t = fold(t)
-            (multi if "_" in t else single).setdefault(t.replace("_", " "), []).append((kind, 1.0))
-    for t, w in SEXUAL.items():
-        t = fold(t)
-        (multi if "_" in t else single).setdefault(t.replace("_", " "), []).append(("s", w))
-    for t, w in PHRASES.items():
-        multi.setdefault(fold(t), []).append(("p", w))
-    for t in list(single):
-        if " " in t:
-            multi[t] = single.pop(t)
+    single: dict[str, list] = {}
+    multi: dict[str, list] = {}
+    terms = [(t, "i", 1.0) for t in INSULTS] + [(t, "d", 1.0) for t in DEGRADING] + [(t, "h", 1.0) for t in DEHUMAN] + [(t, "e", 1.0) for t in EXPEL] + [(t, "x", 1.0) for t in SHUT] + [(t, "s", w) for t, w in SEXUAL.items()]
+    for t, kind, weight in terms:
+        t = " ".join(fold(x) for x in t.split("_"))
+        (multi if " " in t else single).setdefault(t, []).append((kind, weight))
     masked = {t: e for t, e in multi.items() if any(k == "i" for k, _ in e)}  # an asterisk may stand for the space
-    anchors = {}
-    common = {"you", "your", "to", "the", "a", "of", "and", "if", "were", "not", "in", "like", "be", "for", "at", "all", "every", "find", "know", "go", "up", "no", "out", "should", "that", "die", "day", "by", "me", "te", "de", "que", "uit", "dich", "back", "where",
-              "is", "once", "would", "will", "let", "ever", "near", "it", "any", "their", "they", "are", "our", "from", "hope", "watch", "place", "live", "place", "feel", "nature", "with", "him", "her", "se", "al", "alle", "aus", "va", "op", "je", "ya"}
+    aimed = {fold(x) for x in (*VIOLENCE, *ABSENCE)}
+    common = {fold(x) for x in COMMON}
+    # a sentence can only score if it has a term, a phrase's rarest word, or a verb that is aimed at somebody
+    telling = set(single) | set(masked) | aimed
+    starts: dict[str, list] = {}
     for phrase in multi:
-        words = [w for w in phrase.split(" ") if w not in common] or phrase.split(" ")
-        anchors.setdefault(max(words, key=len), set()).add(phrase)
-    # weights add up, so that every term tells; a sentence without one of these scores 0
-    telling = set(single) | set(masked) | set(anchors)
-    starts = {}
-    for phrase in multi:
-        starts.setdefault(phrase.split(" ")[0], []).append((phrase.split(" "), multi[phrase]))
+        words = phrase.split(" ")
+        telling.add(max([w for w in words if w not in common] or words, key=len))
+        starts.setdefault(words[0], []).append((words, multi[phrase]))
+    folded = lambda words: frozenset(fold(x) for x in words)
+    neutral: dict[str, list] = {}
+    for phrase in NEUTRAL:
+        words = [fold(x) for x in phrase.split("_")]
+        neutral.setdefault(words[0], []).append(words)
     return {
-        "single": single | masked, "starts": starts, "trie": Trie(set(single) | set(masked) | set(anchors)), "person": {fold(x) for x in PERSON}, "groups": {fold(x) for x in GROUPS},
-        "reporting": {fold(x) for x in REPORTING}, "degrading": {fold(x) for x in DEGRADING}, "telling": frozenset(telling),
+        "single": single | masked, "starts": starts, "trie": Trie(set(single) | set(masked)), "person": folded(PERSON), "groups": folded(GROUPS), "reporting": folded(REPORTING), "violence": folded(VIOLENCE), "intent": folded(INTENT),
+        "body": folded(BODY), "absence": folded(ABSENCE), "wish": folded(WISH), "telling": frozenset(telling), "neutral": neutral, "common": common,
     }
 
 
-def term_of(token: str, cache: dict, frequent: frozenset) -> str:
+class Guard:
+    """What keeps a token from being taken for a misspelt term: words of harmless samples, and tokens that the corpus has more often than
+    the term (four times at least). sequences: weights of word sequences from the labelled sample."""
+
+    def __init__(self, frequent: frozenset = frozenset(), counts: dict | None = None, sequences: dict | None = None):
+        self.frequent, self.counts, self.sequences = frequent, counts or {}, sequences or {}
+        self.words = frozenset(w for s in self.sequences for w in s)
+
+    def allows(self, token: str, term: str) -> bool:
+        return token not in self.frequent and self.counts.get(token, 0) <= max(4, self.counts.get(term, 0))
+
+
+def term_of(token: str, cache: dict, guard: Guard) -> str:
     """The lexicon's term that a folded token stands for, or the token."""
     known = cache.get(token)
     if known is None:
-        found = lexicon()["trie"].near(token)
-        known = found[0][0] if found and (found[0][1] == 0 or token not in frequent) else token
+        known = next((term for term, distance in lexicon()["trie"].near(token) if distance == 0 or guard.allows(token, term)), token)
         if len(cache) > 500_000:
             cache.clear()
         cache[token] = known
     return known
 
 
-def sentence_score(sentence: str, cache: dict, frequent: frozenset = frozenset()) -> tuple[float, str]:
-    """(score, label) of a sentence: the highest of its abusive, hateful and sexual scores."""
-    lex = lexicon()
+def sentence_words(sentence: str) -> list[tuple[str, int, int]]:
+    """Tokens with their places; letters written apart by spaces are one token."""
     raw = [(m.group(), m.start(), m.end()) for m in TOKEN.finditer(sentence)]
-    # letters written apart by spaces
     tokens: list[tuple[str, int, int]] = []
     i = 0
     while i < len(raw):
@@ -231,12 +284,29 @@ def sentence_score(sentence: str, cache: dict, frequent: frozenset = frozenset()
         else:
             tokens.append(raw[i])
             i += 1
-    words = [term_of(fold(t[0]), cache, frequent) for t in tokens]
-    joined = " ".join(words)
-    harmless = any(h in joined for h in HARMLESS) or bool(re.search(r"(?i)\b(idiot|fool)-?proof", sentence))
+    return tokens
+
+
+def _follows(words: list[str], i: int, wanted, window: int) -> bool:
+    return any(w in wanted for w in words[i + 1 : i + 1 + window])
+
+
+NO_GUARD = Guard()
+NAMED_GROUP = re.compile(r"(?i:\b(?:old|young|poor|these|those|such) people\b|\bpeople (?:from|of|in|with|like)\b)|\b[A-ZА-Я]\w+(?:ians|ans|ers|это)\b|\w+ это ")
+NAMING = re.compile(r"\b(?:is|are|es|est|ist|sei|bent|é|e) (?:a|an|un|une|uno|um|ein|eine|een|такой)\b|\b(?:like|comme|como|wie|zoals|come) [A-ZÀ-ÞА-Я]|^\s*[A-ZÀ-ÞА-Я]\w+ (?:é|is|ist|est|es)\b|,\s*[A-ZА-Я]\w+,|^\s*[A-ZÀ-ÞА-Я]\w+,")
+
+
+def sentence_score(sentence: str, cache: dict, guard: Guard = NO_GUARD) -> tuple[float, str]:
+    """(score, label) of a sentence: the highest of its abusive, hateful and sexual scores."""
+    lex = lexicon()
+    tokens = sentence_words(sentence)
+    plain = [fold(t[0]) for t in tokens]
+    words = [term_of(p, cache, guard) for p in plain]
+    harmless = any(words[i : i + len(n)] == n or plain[i : i + len(n)] == n for i, w in enumerate(plain) for n in lex["neutral"].get(w, ()))
+    harmless = harmless or bool(re.search(r"(?i)\b(idiot|fool)-?proof", sentence))
     quoted = [a > 0 and sentence[a - 1] in "\"“'‘«„" and b < len(sentence) and sentence[b] in "\"”'’»“" for _, a, b in tokens]
-    insult = degrading = dehuman = sexual = phrase = 0.0
-    hits: list[int] = []
+    insult = degrading = dehuman = sexual = aimed = 0.0
+    expel = 0
     seen = set()
     for i, w in enumerate(words):
         entries = list(lex["single"].get(w, ())) if not quoted[i] else []
@@ -250,31 +320,44 @@ def sentence_score(sentence: str, cache: dict, frequent: frozenset = frozenset()
                 continue
             seen.add((kind, w, span))
             if kind == "i":
-                insult = max(insult, 0.6)
-                hits.append(i)
+                insult = 0.6
             elif kind == "d":
                 degrading = 0.3
             elif kind == "h":
-                dehuman = max(dehuman, 0.6)
-                hits.append(i)
-            elif kind == "s":
-                sexual += weight
+                dehuman = 0.6
+            elif kind == "e":
+                expel += 1
+            elif kind == "x":
+                aimed += 0.8
             else:
-                phrase += weight
-    person = any(w in lex["person"] for w in words)
-    group = any(w in lex["groups"] for w in words) or bool(re.search(r"\b[A-ZА-Я]\w+(?:ians|ans|ers|это)\b|\w+ это ", sentence))
-    naming = bool(re.search(r"\b(?:is|are|es|est|ist|sei|bent|é|e) (?:a|an|un|une|uno|um|ein|eine|een|такой)\b|\b(?:like|comme|como|wie|zoals|come) [A-ZÀ-ÞА-Я]|^\s*[A-ZÀ-ÞА-Я]\w+ (?:é|is|ist|est|es)\b", sentence)) or bool(re.search(r",\s*[A-ZА-Я]\w+,", sentence))
-    start = bool(re.match(r"\s*[A-ZÀ-ÞА-Я]\w+,", sentence))
-    dismissal = phrase >= 0.4
-    abusive = phrase
+                sexual += weight
+        # violence aimed at a person or a part of the body; absence that is wished on a person
+        if plain[i] in lex["violence"]:
+            body = [k for k in range(i + 1, min(i + 3, len(plain))) if plain[k] in lex["person"]]
+            after = body and (any(x in lex["body"] for x in plain[body[0] + 1 : body[0] + 4]) or plain[i] not in ("find", "cut", "beat"))
+            if after and (any(x in lex["intent"] for x in plain[max(0, i - 4) : i]) or any(x in lex["body"] for x in plain[body[0] + 1 : body[0] + 3])):
+                aimed += 1.0
+        if plain[i] in lex["absence"] and any(x in lex["person"] for x in plain[max(0, i - 4) : i + 4]) and any(x in lex["wish"] for x in plain[max(0, i - 7) : i + 1]):
+            aimed += 1.0
+    learned = {"abusive": 0.0, "hateful": 0.0, "sexual": 0.0}
+    if guard.words and not guard.words.isdisjoint(words):
+        for n in (2, 3, 4):
+            for i in range(len(words) - n + 1):
+                hit = guard.sequences.get(tuple(words[i : i + n]))
+                if hit and not any(quoted[i : i + n]):
+                    learned[hit[0]] = max(learned[hit[0]], hit[1])
+    person = any(w in lex["person"] for w in plain)
+    group = any(w in lex["groups"] for w in plain) or bool(NAMED_GROUP.search(sentence))
+    abusive = aimed
     if insult:
-        abusive += insult + (0.5 if person or naming or start else 0) + degrading + (0.2 if dismissal else 0)
-    elif degrading and person and phrase:
+        abusive += insult + (0.5 if person or NAMING.search(sentence) else 0) + degrading
+    elif degrading and person and aimed:
         abusive += degrading
-    hateful = dehuman + (0.5 if group else 0) + phrase if dehuman else phrase + (0.3 if group and phrase else 0)
-    if any(w in lex["reporting"] for w in words) and not phrase >= 1:
-        abusive -= 0.7
-        hateful -= 0.7
+    hateful = dehuman + (0.5 if group else 0) if dehuman else 0.0
+    hateful += 0.4 * min(expel, 2) + (0.3 if group and expel else 0)
+    abusive, hateful, sexual = abusive + learned["abusive"], hateful + learned["hateful"], sexual + learned["sexual"]
+    if any(w in lex["reporting"] for w in plain) and aimed < 0.8:
+        abusive, hateful = abusive - 0.7, hateful - 0.7
     if harmless:
         abusive, hateful, sexual = abusive - 0.8, hateful - 0.8, sexual - 0.8
     return max((round(abusive, 2), "abusive"), (round(hateful, 2), "hateful"), (round(sexual, 2), "sexual"))
@@ -283,7 +366,7 @@ def sentence_score(sentence: str, cache: dict, frequent: frozenset = frozenset()
 SENTENCE = re.compile(r"(?<=[.!?…])\s+|\n+")
 
 
-def text_score(text: str, cache: dict, frequent: frozenset = frozenset(), at: list[int] | None = None) -> tuple[float, str]:
+def text_score(text: str, cache: dict, guard: Guard = NO_GUARD, at: list[int] | None = None) -> tuple[float, str]:
     """Score and label of the worst sentence; with at, of the sentences that hold one of these positions."""
     best, start, position = (0.0, "none"), 0, 0
     for end, following in [*((m.start(), m.end()) for m in SENTENCE.finditer(text)), (len(text), len(text))]:
@@ -292,7 +375,7 @@ def text_score(text: str, cache: dict, frequent: frozenset = frozenset(), at: li
             wanted = wanted or at[position] >= start
             position += 1
         if wanted and end - start > 3:
-            score = sentence_score(text[start:end], cache, frequent)
+            score = sentence_score(text[start:end], cache, guard)
             if score[0] > best[0]:
                 best = score
         start = following
@@ -306,55 +389,127 @@ def _token_spans(cps: np.ndarray, offs: np.ndarray):
     return tb.runs(inside, offs[:-1][offs[:-1] < len(cps)])
 
 
-def frequent_words(samples: DataFrame | None) -> frozenset:
-    """Folded words of the labelled sample's harmless texts and of its harmful ones alike that are no terms: never taken for misspelt terms. At
-    most 4000 rows are read."""
+MAX_SAMPLES, LEARNED, LEAST_TEXTS = 4000, 0.6, 2
+
+
+def _sample(samples: DataFrame | None, condition: str) -> list[tuple[str, str]]:
+    """(label, text) of at most MAX_SAMPLES rows, chosen by hash."""
     if samples is None:
-        return frozenset()
-    rows = samples.filter("text is not null").select("text").distinct().orderBy(F.xxhash64("text"), "text").limit(4000).collect()
-    return frozenset(fold(t) for r in rows for t in re.findall(r"[^\W\d_]+", r.text))
+        return []
+    label = F.col("label") if "label" in samples.columns else F.lit("none")
+    rows = samples.select(label.alias("label"), "text").filter(f"text is not null and {condition}").distinct().orderBy(F.xxhash64("text"), "text", "label").limit(MAX_SAMPLES).collect()
+    return [(r.label, r.text) for r in rows]
+
+
+def fit_sequences(harmful: list[tuple[str, str]], harmless: list[str]) -> dict[tuple, tuple[str, float]]:
+    """Sequences of two to four words (terms for misspelt words) of the labelled texts, with label and weight. A sequence counts if texts of
+    one harmful label alone hold it, LEAST_TEXTS of them at least, no harmless one does, and not all its words are common. The weight
+    is LEARNED times the lower bound of its share of harmful texts, (n - 1) / n."""
+    cache: dict = {}
+    lex = lexicon()
+
+    def of(text: str) -> set[tuple]:
+        out = set()
+        for sentence in SENTENCE.split(text):
+            words = [term_of(fold(t[0]), cache, NO_GUARD) for t in sentence_words(sentence)]
+            out |= {tuple(words[i : i + n]) for n in (2, 3, 4) for i in range(len(words) - n + 1)}
+        return out
+
+    counts: dict[tuple, dict] = {}
+    for label, text in harmful:
+        for s in of(text):
+            counts.setdefault(s, {}).setdefault(label, 0)
+            counts[s][label] += 1
+    for text in harmless:
+        for s in of(text):
+            counts.pop(s, None)
+    return {s: (*by, round(LEARNED * (n - 1) / n, 3)) for s, by in counts.items() if len(by) == 1 for n in by.values() if n >= LEAST_TEXTS and not all(w in lex["common"] for w in s)}
+
+
+def _forms(token: str) -> list[str]:
+    """A token folded, as a whole and in its parts between signs."""
+    whole = fold(token)
+    parts = re.split("[-'!]", token)
+    return [whole, *(fold(x) for x in parts if x)] if len(parts) > 1 else [whole]
+
+
+class Hits:
+    """Distinct tokens that this worker has run against the trie. is_hit decides for one folded form; forms that no term can be near, which
+    nearly all are, are told in one pass over the new tokens and put into cache as themselves."""
+
+    def __init__(self, is_hit, cache: dict):
+        self.is_hit, self.cache = is_hit, cache
+        self.hashes, self.hit = np.zeros(0, np.uint64), np.zeros(0, bool)
+
+    def __call__(self, cps: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(whether each token is a hit, first place of each distinct token, number of its distinct token)."""
+        h = tb.span_hashes(tb.lower_table()[np.minimum(cps, tb.LIMIT)], begin, end)
+        unique, first, inverse = np.unique(h, return_index=True, return_inverse=True)
+        if len(self.hashes) > 600_000:
+            self.hashes, self.hit = self.hashes[:0], self.hit[:0]
+        where = np.searchsorted(self.hashes, unique)
+        known = where < len(self.hashes)
+        known[known] = self.hashes[where[known]] == unique[known]
+        hit = np.zeros(len(unique), bool)
+        hit[known] = self.hit[where[known]]
+        new = np.flatnonzero(~known)
+        if len(new):
+            forms = [_forms(cps[a:b].tobytes().decode("utf-32-le", "replace")) for a, b in zip(begin[first[new]].tolist(), end[first[new]].tolist())]
+            flat = list({f for x in forms for f in x if f not in self.cache})
+            if len(self.cache) + len(flat) > 500_000:
+                self.cache.clear()
+            self.cache.update((f, f) for f, near in zip(flat, lexicon()["trie"].possible(flat)) if not near)
+            hit[new] = [any(map(self.is_hit, x)) for x in forms]
+            order = np.argsort(np.concatenate([self.hashes, unique[new]]), kind="stable")
+            self.hashes = np.concatenate([self.hashes, unique[new]])[order]
+            self.hit = np.concatenate([self.hit, hit[new]])[order]
+        return hit[inverse], first, inverse
+
+
+def near_counts(documents: DataFrame, text: str = "text") -> dict[str, int]:
+    """How often all documents hold each token that is a term or near one. There are at most as many as the lexicon has neighbours."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trie, counts = lexicon()["trie"], {}
+        cache: dict = {}
+        hits = Hits(lambda form: form not in cache and bool(trie.near(form)), cache)
+        for batch in batches:
+            for part in tb.chunks(batch, text):
+                cps, offs = tb.codepoints(lookalike.canonical_array(part.column(text)))
+                if not len(cps):
+                    continue
+                begin, end = _token_spans(cps, offs)
+                hit, first, inverse = hits(cps, begin, end)
+                for u, n in zip(*np.unique(inverse[hit], return_counts=True)):
+                    token = fold(cps[begin[first[u]] : end[first[u]]].tobytes().decode("utf-32-le", "replace"))
+                    counts[token] = counts.get(token, 0) + int(n)
+        if counts:
+            yield pa.RecordBatch.from_arrays([pa.array(list(counts)), pa.array(list(counts.values()), pa.int64())], ["token", "n"])
+
+    rows = documents.select(text).mapInArrow(scan, "token string, n bigint").groupBy("token").agg(F.sum("n").alias("n"))
+    return {r.token: r.n for r in rows.collect()}
 
 
 def scores(documents: DataFrame, samples: DataFrame | None = None, language_samples: DataFrame | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, source, score, label): every row once. A null or empty text has the score 0 and the label none."""
-    frequent = frequent_words(samples.filter("label = 'none'") if samples is not None else None) | frequent_words(language_samples)
+    harmless = [t for _, t in _sample(samples, "label = 'none'")] + [t for _, t in _sample(language_samples, "true")]
+    frequent = frozenset(fold(t) for x in harmless for t in re.findall(r"[^\W\d_]+", x))
+    sequences = fit_sequences(_sample(samples, "label <> 'none'"), harmless)
+    shared = documents.sparkSession.sparkContext.broadcast(Guard(frequent, near_counts(documents, text), sequences))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict = {}
-        lex = lexicon()
-        known_hashes = np.zeros(0, np.uint64)
-        known_hit = np.zeros(0, bool)
-
-        def is_hit(token: str) -> bool:
-            for t in {fold(token), *map(fold, re.split("[-'!]", token))}:
-                term = term_of(t, cache, frequent)
-                if term in lex["telling"]:
-                    return True
-            return False
-
+        guard, lex = shared.value, lexicon()
+        # every word of a sequence that isn't common tells, so that no sentence that scores is left out
+        telling = lex["telling"] | (guard.words - lex["common"])
+        hits = Hits(lambda form: form in telling or term_of(form, cache, guard) in telling, cache)
         for batch in batches:
             for part in tb.chunks(batch, text):
-                canonical = lookalike.canonical_array(part.column(text))
-                cps, offs = tb.codepoints(canonical)
+                cps, offs = tb.codepoints(lookalike.canonical_array(part.column(text)))
                 values, labels = np.zeros(len(part)), np.array(["none"] * len(part), object)
                 if len(cps):
                     begin, end = _token_spans(cps, offs)
-                    h = tb.span_hashes(tb.lower_table()[np.minimum(cps, tb.LIMIT)], begin, end)
-                    unique, first, inverse = np.unique(h, return_index=True, return_inverse=True)
-                    where = np.searchsorted(known_hashes, unique)
-                    known = where < len(known_hashes)
-                    known[known] = known_hashes[where[known]] == unique[known]
-                    hit = np.zeros(len(unique), bool)
-                    hit[known] = known_hit[where[known]]
-                    new = np.flatnonzero(~known)
-                    if len(new):
-                        hit[new] = [is_hit(cps[a:b].tobytes().decode("utf-32-le", "replace")) for a, b in zip(begin[first[new]].tolist(), end[first[new]].tolist())]
-                        order = np.argsort(np.concatenate([known_hashes, unique[new]]), kind="stable")
-                        known_hashes = np.concatenate([known_hashes, unique[new]])[order]
-                        known_hit = np.concatenate([known_hit, hit[new]])[order]
-                        if len(known_hashes) > 600_000:
-                            known_hashes, known_hit = known_hashes[:0], known_hit[:0]
-                    hit = hit[inverse]
+                    hit, _, _ = hits(cps, begin, end)
                     # four single letters in a row
                     single = end - begin == 1
                     if len(single) > 3:
@@ -366,7 +521,7 @@ def scores(documents: DataFrame, samples: DataFrame | None = None, language_samp
                     rows, first_hit = np.unique(owners, return_index=True)
                     for row, a, b in zip(rows.tolist(), first_hit.tolist(), [*first_hit[1:].tolist(), len(places)]):
                         text_of = cps[offs[row] : offs[row + 1]].tobytes().decode("utf-32-le", "replace")
-                        values[row], labels[row] = text_score(text_of, cache, frequent, (places[a:b] - offs[row]).tolist())
+                        values[row], labels[row] = text_score(text_of, cache, guard, (places[a:b] - offs[row]).tolist())
                 yield pa.RecordBatch.from_arrays([part.column(key), part.column("source"), pa.array(values), pa.array(labels.tolist(), pa.string())], [key, "source", "score", "label"])
 
     kind = documents.schema[key].dataType.simpleString()
