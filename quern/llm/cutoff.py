@@ -28,7 +28,7 @@ from quern.runtime import materialise, site_of
 
 FIELDS = ("title", "description", "body_text")
 MEASURES = ("code_points", "utf8", "utf16", "html", "json", "crlf")
-FRAME_PAGES, KNOWN, RARE, END_SHARE, FREQUENT = 3, 20, 3, 0.003, 40
+FRAME_PAGES, KNOWN, FRAGMENT, END_SHARE, FREQUENT = 3, 20, 16, 0.003, 40
 CLOSERS = "\"'”’»)]}*_›“"
 TERMINAL = ".!?。！？"
 MARK = re.compile(r"(?:…|\.{2,}|\[\s*(?:…|\.{3})\s*\]|\(\s*(?:…|\.{3})\s*\))\s*$")
@@ -99,7 +99,7 @@ def field_rows(records: DataFrame) -> DataFrame:
                     for i, text in enumerate(canonical.to_pylist()):
                         if text and not text.isspace():
                             rows.append(i)
-                            out.append(ending(text if len(text) < 4000 else text[-4000:]))
+                            out.append(ending(text))
                     if not rows:
                         continue
                     ended, marked, unfinished, word, line = zip(*out)
@@ -193,15 +193,17 @@ def judged(records: DataFrame) -> DataFrame:
     repeated = sitelines.template_lines(records, FRAME_PAGES).withColumn("is_frame", F.lit(True))
     words = materialise(word_counts(records).filter(F.col("n") >= 2))
     # words that others begin with: every proper beginning of a frequent word
-    beginnings = (words.filter(F.col("n") >= FREQUENT).select(F.explode(F.sequence(F.lit(1), F.length("text") - 1)).alias("k"), "text").filter("k >= 1 and length(text) > 1")
-                  .select(F.expr("substring(text, 1, k)").alias("text")).distinct())
+    beginnings = (words.filter(F.col("n") >= FREQUENT).select(F.explode(F.sequence(F.lit(1), F.length("text") - 1)).alias("k"), "text", "n").filter("k >= 1 and length(text) > 1")
+                  .groupBy(F.expr("substring(text, 1, k)").alias("text")).agg(F.max("n").alias("begins")))
     ends = rows.filter("word is not null and not ended").select("word").distinct()
     known = ends.join(words.select("word", "n", "n_ends"), "word", "left")
     # texts of last words come from the words themselves; one that occurs once is known by its hash only
-    begun = beginnings.select(_word_hash(F.col("text")).alias("word")).withColumn("begins", F.lit(True))
-    facts = known.join(begun.distinct(), "word", "left")
-    n = F.coalesce("n", F.lit(1))
-    facts = facts.select("word", ((n >= KNOWN) & (F.col("n_ends") < END_SHARE * n)).alias("dangling"), ((n < RARE) & F.coalesce("begins", F.lit(False))).alias("partial"))
+    begun = beginnings.select(_word_hash(F.col("text")).alias("word"), "begins").groupBy("word").agg(F.max("begins").alias("begins"))
+    facts = known.join(begun, "word", "left")
+    n, n_ends = F.coalesce("n", F.lit(1)), F.coalesce("n_ends", F.lit(1))
+    # a fragment is far rarer than the word it begins, and stands at ends; both hold at every size of the corpus
+    partial = F.coalesce((n * FRAGMENT <= F.col("begins")) & (2 * n_ends >= n), F.lit(False))
+    facts = facts.select("word", ((n >= KNOWN) & (n_ends < END_SHARE * n)).alias("dangling"), partial.alias("partial"))
     size = F.get(F.col("lengths"), F.col("m"))
     at_limit = F.coalesce((size == F.col("limit")) | (F.col("m").isin(1, 3) & (size > F.col("limit") - 4) & (size <= F.col("limit"))), F.lit(False))
     frame = F.coalesce(F.col("is_frame") & (F.col("field") == "body_text"), F.lit(False))
