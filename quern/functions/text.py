@@ -136,7 +136,7 @@ def unescape_html(text: Column) -> Column:
 
 def highlight(text: Column, terms: Column) -> Column:
     """Escaped text with the terms (an array, longest first) in <mark>, without regard to case."""
-    pattern = F.concat(F.lit("(?i)("), F.array_join(terms, "|"), F.lit(")"))
+    pattern = F.concat(F.lit("(?iu)("), F.array_join(F.transform(terms, lambda t: F.concat(F.lit("\\Q"), escape_html(t), F.lit("\\E"))), "|"), F.lit(")"))
     return F.when(F.size(terms) == 0, escape_html(text)).otherwise(F.regexp_replace(escape_html(text), pattern, F.lit("<mark>$1</mark>")))
 
 
