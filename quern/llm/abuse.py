@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from quern.llm import lookalike
 from quern.llm import textblocks as tb
 
-THRESHOLD = 1.0
+THRESHOLD, LEAST = 1.0, 0.3
 
 # Lexicon. Terms are folded (lower case, no accents); words of a phrase are divided by underscores.
 INSULTS = """
@@ -228,12 +228,13 @@ def lexicon() -> dict:
     masked = {t: e for t, e in multi.items() if any(k == "i" for k, _ in e)}  # an asterisk may stand for the space
     aimed = {fold(x) for x in (*VIOLENCE, *ABSENCE)}
     common = {fold(x) for x in COMMON}
-    # a sentence can only score if it has a term, a phrase's rarest word, or a verb that is aimed at somebody
-    telling = set(single) | set(masked) | aimed
+    # what a word can add to a sentence's score: a term, the rarest word of a phrase; degrading words add to others only. Verbs that are aimed
+    # at somebody tell where a person is near
+    telling = {t: max(1.0 if k != "s" else w for k, w in e if k != "d") for t, e in (single | masked).items() if any(k != "d" for k, _ in e)}
     starts: dict[str, list] = {}
     for phrase in multi:
         words = phrase.split(" ")
-        telling.add(max([w for w in words if w not in common] or words, key=len))
+        telling[max([w for w in words if w not in common] or words, key=len)] = 1.0
         starts.setdefault(words[0], []).append((words, multi[phrase]))
     folded = lambda words: frozenset(fold(x) for x in words)
     neutral: dict[str, list] = {}
@@ -242,7 +243,7 @@ def lexicon() -> dict:
         neutral.setdefault(words[0], []).append(words)
     return {
         "single": single | masked, "starts": starts, "trie": Trie(set(single) | set(masked)), "person": folded(PERSON), "groups": folded(GROUPS), "reporting": folded(REPORTING), "violence": folded(VIOLENCE), "intent": folded(INTENT),
-        "body": folded(BODY), "absence": folded(ABSENCE), "wish": folded(WISH), "telling": frozenset(telling), "neutral": neutral, "common": common,
+        "body": folded(BODY), "absence": folded(ABSENCE), "wish": folded(WISH), "telling": telling, "aimed": frozenset(aimed), "neutral": neutral, "common": common,
     }
 
 
@@ -340,10 +341,10 @@ def sentence_score(sentence: str, cache: dict, guard: Guard = NO_GUARD) -> tuple
         if plain[i] in lex["absence"] and any(x in lex["person"] for x in plain[max(0, i - 4) : i + 4]) and any(x in lex["wish"] for x in plain[max(0, i - 7) : i + 1]):
             aimed += 1.0
     learned = {"abusive": 0.0, "hateful": 0.0, "sexual": 0.0}
-    if guard.words and not guard.words.isdisjoint(words):
+    if guard.words and not guard.words.isdisjoint(plain):
         for n in (2, 3, 4):
-            for i in range(len(words) - n + 1):
-                hit = guard.sequences.get(tuple(words[i : i + n]))
+            for i in range(len(plain) - n + 1):
+                hit = guard.sequences.get(tuple(plain[i : i + n]))
                 if hit and not any(quoted[i : i + n]):
                     learned[hit[0]] = max(learned[hit[0]], hit[1])
     person = any(w in lex["person"] for w in plain)
@@ -360,7 +361,8 @@ def sentence_score(sentence: str, cache: dict, guard: Guard = NO_GUARD) -> tuple
         abusive, hateful = abusive - 0.7, hateful - 0.7
     if harmless:
         abusive, hateful, sexual = abusive - 0.8, hateful - 0.8, sexual - 0.8
-    return max((round(abusive, 2), "abusive"), (round(hateful, 2), "hateful"), (round(sexual, 2), "sexual"))
+    best = max((round(abusive, 2), "abusive"), (round(hateful, 2), "hateful"), (round(sexual, 2), "sexual"))
+    return best if best[0] >= LEAST else (0.0, best[1])  # single weak words are no evidence
 
 
 SENTENCE = re.compile(r"(?<=[.!?…])\s+|\n+")
@@ -402,17 +404,16 @@ def _sample(samples: DataFrame | None, condition: str) -> list[tuple[str, str]]:
 
 
 def fit_sequences(harmful: list[tuple[str, str]], harmless: list[str]) -> dict[tuple, tuple[str, float]]:
-    """Sequences of two to four words (terms for misspelt words) of the labelled texts, with label and weight. A sequence counts if texts of
+    """Sequences of two to four words of the labelled texts, with label and weight. A sequence counts if texts of
     one harmful label alone hold it, LEAST_TEXTS of them at least, no harmless one does, and not all its words are common. The weight
     is LEARNED times the lower bound of its share of harmful texts, (n - 1) / n."""
-    cache: dict = {}
     lex = lexicon()
 
     def of(text: str) -> set[tuple]:
         out = set()
         for sentence in SENTENCE.split(text):
-            words = [term_of(fold(t[0]), cache, NO_GUARD) for t in sentence_words(sentence)]
-            out |= {tuple(words[i : i + n]) for n in (2, 3, 4) for i in range(len(words) - n + 1)}
+            words = [fold(t[0]) for t in sentence_words(sentence)]
+            out |= {tuple(words[i : i + n]) for n in (2, 3, 4) for i in range(len(words) - n + 1) if all(w.isalnum() for w in words[i : i + n])}
         return out
 
     counts: dict[tuple, dict] = {}
@@ -433,25 +434,25 @@ def _forms(token: str) -> list[str]:
     return [whole, *(fold(x) for x in parts if x)] if len(parts) > 1 else [whole]
 
 
-class Hits:
-    """Distinct tokens that this worker has run against the trie. is_hit decides for one folded form; forms that no term can be near, which
-    nearly all are, are told in one pass over the new tokens and put into cache as themselves."""
+class Known:
+    """Distinct tokens that this worker has seen, with what describe(forms) says of each: a number of values. Forms that no term can be near,
+    which nearly all are, are told in one pass over the new tokens and put into cache as themselves."""
 
-    def __init__(self, is_hit, cache: dict):
-        self.is_hit, self.cache = is_hit, cache
-        self.hashes, self.hit = np.zeros(0, np.uint64), np.zeros(0, bool)
+    def __init__(self, describe, n_values: int, cache: dict):
+        self.describe, self.cache = describe, cache
+        self.hashes, self.values = np.zeros(0, np.uint64), np.zeros((0, n_values), np.float32)
 
     def __call__(self, cps: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(whether each token is a hit, first place of each distinct token, number of its distinct token)."""
+        """(values of each token, first place of each distinct token, number of its distinct token)."""
         h = tb.span_hashes(tb.lower_table()[np.minimum(cps, tb.LIMIT)], begin, end)
         unique, first, inverse = np.unique(h, return_index=True, return_inverse=True)
         if len(self.hashes) > 600_000:
-            self.hashes, self.hit = self.hashes[:0], self.hit[:0]
+            self.hashes, self.values = self.hashes[:0], self.values[:0]
         where = np.searchsorted(self.hashes, unique)
         known = where < len(self.hashes)
         known[known] = self.hashes[where[known]] == unique[known]
-        hit = np.zeros(len(unique), bool)
-        hit[known] = self.hit[where[known]]
+        values = np.zeros((len(unique), self.values.shape[1]), np.float32)
+        values[known] = self.values[where[known]]
         new = np.flatnonzero(~known)
         if len(new):
             forms = [_forms(cps[a:b].tobytes().decode("utf-32-le", "replace")) for a, b in zip(begin[first[new]].tolist(), end[first[new]].tolist())]
@@ -459,11 +460,22 @@ class Hits:
             if len(self.cache) + len(flat) > 500_000:
                 self.cache.clear()
             self.cache.update((f, f) for f, near in zip(flat, lexicon()["trie"].possible(flat)) if not near)
-            hit[new] = [any(map(self.is_hit, x)) for x in forms]
+            values[new] = [self.describe(x) for x in forms]
             order = np.argsort(np.concatenate([self.hashes, unique[new]]), kind="stable")
             self.hashes = np.concatenate([self.hashes, unique[new]])[order]
-            self.hit = np.concatenate([self.hit, hit[new]])[order]
-        return hit[inverse], first, inverse
+            self.values = np.concatenate([self.values, values[new]])[order]
+        return values[inverse], first, inverse
+
+
+def _sentence_numbers(cps: np.ndarray, offs: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """Ascending number of the sentence of each token, as SENTENCE divides them."""
+    space = np.isin(cps, [9, 10, 11, 12, 13, 28, 29, 30, 31, 32, 0x85, 0xA0])
+    ends = np.isin(cps, [46, 33, 63, 0x2026])
+    cut = np.zeros(len(cps) + 1, np.int64)
+    cut[offs[:-1]] = 1
+    cut[1:-1] |= ends[:-1] & space[1:]
+    cut[:-1] |= cps == 10
+    return np.cumsum(cut)[begin]
 
 
 def near_counts(documents: DataFrame, text: str = "text") -> dict[str, int]:
@@ -472,15 +484,15 @@ def near_counts(documents: DataFrame, text: str = "text") -> dict[str, int]:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie, counts = lexicon()["trie"], {}
         cache: dict = {}
-        hits = Hits(lambda form: form not in cache and bool(trie.near(form)), cache)
+        known = Known(lambda forms: [float(any(f not in cache and trie.near(f) for f in forms))], 1, cache)
         for batch in batches:
             for part in tb.chunks(batch, text):
                 cps, offs = tb.codepoints(lookalike.canonical_array(part.column(text)))
                 if not len(cps):
                     continue
                 begin, end = _token_spans(cps, offs)
-                hit, first, inverse = hits(cps, begin, end)
-                for u, n in zip(*np.unique(inverse[hit], return_counts=True)):
+                values, first, inverse = known(cps, begin, end)
+                for u, n in zip(*np.unique(inverse[values[:, 0] > 0], return_counts=True)):
                     token = fold(cps[begin[first[u]] : end[first[u]]].tobytes().decode("utf-32-le", "replace"))
                     counts[token] = counts.get(token, 0) + int(n)
         if counts:
@@ -500,16 +512,34 @@ def scores(documents: DataFrame, samples: DataFrame | None = None, language_samp
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict = {}
         guard, lex = shared.value, lexicon()
-        # every word of a sequence that isn't common tells, so that no sentence that scores is left out
-        telling = lex["telling"] | (guard.words - lex["common"])
-        hits = Hits(lambda form: form in telling or term_of(form, cache, guard) in telling, cache)
+        vocabulary = {w: i + 1 for i, w in enumerate(sorted(guard.words))}
+        pairs = np.array(sorted({vocabulary[a] * (len(vocabulary) + 1) + vocabulary[b] for q in guard.sequences for a, b in zip(q, q[1:])}), np.int64)
+
+        def describe(forms: list[str]) -> list[float]:
+            """[what the token can add, whether it is aimed at somebody, whether a person, its number among the words of sequences]."""
+            terms = [term_of(f, cache, guard) for f in forms]
+            return [max(max(lex["telling"].get(f, 0.0), lex["telling"].get(t, 0.0)) for f, t in zip(forms, terms)), float(any(f in lex["aimed"] for f in forms)), float(any(f in lex["person"] for f in forms)), vocabulary.get(forms[0], 0)]
+
+        known = Known(describe, 4, cache)
         for batch in batches:
             for part in tb.chunks(batch, text):
                 cps, offs = tb.codepoints(lookalike.canonical_array(part.column(text)))
                 values, labels = np.zeros(len(part)), np.array(["none"] * len(part), object)
                 if len(cps):
                     begin, end = _token_spans(cps, offs)
-                    hit, _, _ = hits(cps, begin, end)
+                    facts, _, _ = known(cps, begin, end)
+                    # sentences that can score: by what their words add, a verb and a person within a few words, a pair of words of a sequence
+                    sentence = _sentence_numbers(cps, offs, begin)
+                    hit = np.bincount(sentence, facts[:, 0])[sentence] >= LEAST - 1e-6
+                    hit &= facts[:, 0] > 0
+                    near = np.zeros(len(begin) + 1, np.int64)
+                    np.cumsum(facts[:, 2] > 0, out=near[1:])
+                    index = np.arange(len(begin))
+                    hit |= (facts[:, 1] > 0) & (near[np.minimum(index + 5, len(begin))] > near[np.maximum(index - 5, 0)])
+                    if len(pairs) and len(begin) > 1:
+                        number = facts[:, 3].astype(np.int64)
+                        joined = number[:-1] * (len(vocabulary) + 1) + number[1:]
+                        hit[:-1] |= (number[:-1] > 0) & (number[1:] > 0) & np.isin(joined, pairs)
                     # four single letters in a row
                     single = end - begin == 1
                     if len(single) > 3:

@@ -241,7 +241,7 @@ def test_abuse_scores(spark):
 
 def test_weights_of_small_terms_add_up(spark):
     rng = random.Random(6)
-    small = [*abuse.SEXUAL, *abuse.DEGRADING, *abuse.GROUPS, *abuse.PHRASES, *abuse.PERSON]
+    small = [*abuse.SEXUAL, *abuse.DEGRADING, *abuse.GROUPS, *abuse.EXPEL, *abuse.SHUT, *abuse.PERSON, *abuse.VIOLENCE, *abuse.ABSENCE, *abuse.WISH, *abuse.INTENT, *abuse.BODY]
     texts = ["Hot lonely wives and singles on webcam tonight, no strings", "There is no place for immigrants, they must be driven out of town once and for all"]
     texts += [" ".join(rng.choice(small).replace("_", " ") for _ in range(rng.randint(1, 4))) + rng.choice([".", " table. The lamp."]) for _ in range(200)]
     d = spark.createDataFrame([(i, t, "s") for i, t in enumerate(texts)], "doc_id long, text string, source string")
@@ -250,10 +250,46 @@ def test_weights_of_small_terms_add_up(spark):
     assert got == {i: abuse.text_score(t, {}) for i, t in enumerate(texts)}
 
 
+UNSEEN = ["You are an idoit.", "You stupid morno", "What a bicth you are.", "You whroe.", "You absolute muppet", "I will stab you in your sleep.", "Come see my tits and pussy live", "Someone should slit your throat.", "Hot lonely wives, amateurs and singles on webcam cam tonight",
+          "Shut up, I wish you had vanished tomorrow", "Du bist ein elender Hurensohn.", "Ты просто тварь, и все это знают.", "We will burn your house down.", "Refugees are parasites."]
+HARMLESS = ["He broke his leg in two places.", "You can kill the process with one key.", "I will find you a chair.", "Her mother died last year, I hope you understand.", "Breast cancer patients need care.", "We should cut your costs by half.",
+            "The rats of the city eat what people leave.", "The word idiot comes from Greek.", "Why did your aunt call?", "The train has a delay, malgré le retard.", "Sexual reproduction in ferns needs water."]
+
+
+def test_unseen_sentences(spark):
+    d = spark.createDataFrame([(i, t, "s") for i, t in enumerate(UNSEEN + HARMLESS)], "doc_id long, text string, source string")
+    assert [r.doc_id for r in abuse.found(d).orderBy("doc_id").collect()] == list(range(len(UNSEEN)))
+
+
+def test_frequent_neighbours_are_words(spark):
+    rows_ = [(i, "You closers meet the loosers.", "s") for i in range(30)] + [(99, "You looser.", "s"), (100, "You loser.", "s")]
+    d = spark.createDataFrame(rows_, "doc_id long, text string, source string")
+    assert [r.doc_id for r in abuse.found(d).orderBy("doc_id").collect()] == [99, 100]
+
+
+def test_possible_holds_for_all_that_is_near():
+    from quern.plans.search_queries import osa_distance
+
+    rng = random.Random(7)
+    trie = abuse.lexicon()["trie"]
+    terms = sorted(t for t in trie.terms if trie.edits(t))
+    words = []
+    for _ in range(600):
+        w = list(rng.choice(terms))
+        for _ in range(rng.randint(1, 2)):
+            i = rng.randrange(len(w))
+            w[i : i + 2] = rng.choice([[rng.choice("abcxyz")], w[i : i + 2][::-1], [*w[i : i + 2], "q"], w[i : i + 1]])
+        words.append("".join(w))
+    possible = trie.possible(words)
+    for w, p in zip(words, possible):
+        if len(w) >= 4 and any(osa_distance(w, t) <= trie.edits(t) for t in terms if abs(len(t) - len(w)) <= 2):
+            assert p, w
+
+
 def test_trie_equals_brute_force():
     from quern.plans.search_queries import osa_distance
 
     trie = abuse.Trie(["idiot", "bastard", "vermin", "fantasies"])
     for word in ("bastrad", "fanatsies", "bastar", "vermins", "idiof", "xbastard", "vrmni"):
-        want = {t for t in trie.terms if osa_distance(word, t) <= trie.edits(t)}
+        want = {t for t in trie.terms if osa_distance(word, t) <= trie.edits(t) and (word == t or trie.plausible(t, word))}
         assert {t for t, _ in trie.near(word)} == want
