@@ -30,7 +30,7 @@ TERMINAL = ".!?…。"
 
 
 def line_nodes(records: DataFrame) -> DataFrame:
-    """(id, site, line_no, line, label, title_like, share): the non-blank lines. line is the hash of the letters (0 without one), label that of the
+    """(page, site, line_no, line, label, title_like, share): the non-blank lines. page and site are 64-bit hashes of the id and the host; line is the hash of the letters (0 without one), label that of the
     part before the first divider (null without one), title_like whether the line may be a title: words, no mark of a sentence's end, no
     bullet, no cells; share is the line's of the page's letters, in millionths."""
 
@@ -77,41 +77,41 @@ def line_nodes(records: DataFrame) -> DataFrame:
                 share = np.rint(n_letters * 1e6 / np.maximum(np.bincount(document, n_letters, len(part)), 1)[document]).astype(np.int32)
                 line = np.where(n_letters > 0, line.view(np.int64), 0)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("id").take(rows), part.column("site").take(rows), pa.array(number.astype(np.int32)), pa.array(line),
+                    [part.column("page").take(rows), part.column("site").take(rows), pa.array(number.astype(np.int32)), pa.array(line),
                      pa.array(label.view(np.int64), mask=~has), pa.array(title_like), pa.array(share)],
-                    ["id", "site", "line_no", "line", "label", "title_like", "share"])
+                    ["page", "site", "line_no", "line", "label", "title_like", "share"])
 
-    kind = records.schema["id"].dataType.simpleString()
-    return (records.select("id", F.coalesce(site_of(F.col("url")), F.lit("")).alias("site"), "body_text")
-            .mapInArrow(scan, f"id {kind}, site string, line_no int, line bigint, label bigint, title_like boolean, share int"))
+    return (records.select(F.xxhash64("id").alias("page"), F.xxhash64(F.coalesce(site_of(F.col("url")), F.lit(""))).alias("site"), "body_text")
+            .mapInArrow(scan, "page bigint, site bigint, line_no int, line bigint, label bigint, title_like boolean, share int"))
 
 
 def constant_nodes(nodes: DataFrame, min_pages: int = MIN_PAGES, line_share: float = LINE_SHARE, label_share: float = LABEL_SHARE) -> DataFrame:
     """(site, node, is_label, n_pages): nodes constant on at least min_pages pages of the host and on that share of its pages, copies
     of a page counted once. Pages are counted by (site, node, page) first, so that no task holds a host."""
-    page = F.xxhash64("id").alias("page")
-    pages = nodes.select("site", page).distinct().groupBy("site").agg(F.count("*").alias("pages"))
-    lines = nodes.filter("line != 0").select("site", F.col("line").alias("node"), F.lit(False).alias("is_label"), page, "share")
-    labels = nodes.filter("label is not null").select("site", F.col("label").alias("node"), F.lit(True).alias("is_label"), page, F.lit(0).alias("share"))
+    pages = nodes.select("site", "page").distinct().groupBy("site").agg(F.count("*").alias("pages"))
+    lines = nodes.filter("line != 0").select("site", F.col("line").alias("node"), F.lit(False).alias("is_label"), "page", "share")
+    labels = nodes.filter("label is not null").select("site", F.col("label").alias("node"), F.lit(True).alias("is_label"), "page", F.lit(0).alias("share"))
     counted = sitelines.copy_votes(lines.unionByName(labels))
     share = F.when(F.col("is_label"), label_share).otherwise(line_share)
     return counted.filter(F.col("n_pages") >= min_pages).join(pages, "site").filter(F.col("n_pages") >= share * F.col("pages")).drop("pages")
 
 
 def frame_lines(records: DataFrame) -> DataFrame:
-    """(id, line_no): the frame's lines of every page, list pages included."""
-    nodes = materialise(line_nodes(records).withColumn("site", F.xxhash64("site")))
+    """(id, line_no): the frame's lines of every page, list pages included. Repeated rows of a record change nothing: their lines fall
+    together at the end. Within, pages go by the hash of their id, since ids would be half of what is shuffled."""
+    nodes = materialise(line_nodes(records))
     constant = constant_nodes(nodes)
     lines = constant.filter("not is_label").select("site", F.col("node").alias("line"), F.lit(True).alias("line_constant"))
     labels = constant.filter("is_label").select("site", F.col("node").alias("label"), F.lit(True).alias("label_constant"))
-    marked = (nodes.drop("share").distinct().join(lines, ["site", "line"], "left").join(labels, ["site", "label"], "left")
-              .withColumn("template", F.coalesce("line_constant", "label_constant", F.lit(False))))
-    order = W.partitionBy("id").orderBy("line_no")
+    marked = (nodes.drop("share").join(lines, ["site", "line"], "left").join(labels, ["site", "label"], "left")
+              .select("page", "line_no", "title_like", F.coalesce("line_constant", "label_constant", F.lit(False)).alias("template")))
+    order = W.partitionBy("page").orderBy("line_no")
     solid = F.when(~F.col("title_like") | F.col("template"), F.col("template"))
     marked = (marked.withColumn("before", F.last(solid, True).over(order.rowsBetween(W.unboundedPreceding, -1)))
               .withColumn("after", F.first(solid, True).over(order.rowsBetween(1, W.unboundedFollowing))))
     slot = F.col("title_like") & F.coalesce("before", F.lit(False)) & F.coalesce("after", F.lit(True))
-    return marked.filter(F.col("template") | slot).select("id", "line_no")
+    framed = marked.filter(F.col("template") | slot).select("page", "line_no").distinct()
+    return framed.join(records.select("id", F.xxhash64("id").alias("page")).distinct(), "page").select("id", "line_no")
 
 
 def found(records: DataFrame, samples: DataFrame | None = None) -> DataFrame:
