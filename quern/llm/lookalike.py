@@ -208,11 +208,9 @@ def _line_context(line: Column) -> Column:
 @lru_cache(1)
 def _suspect_points() -> np.ndarray:
     """Whether a code point (below textblocks.LIMIT) can be a look-alike or is of a script that has some."""
-    p, table = _python(), np.zeros(tb.LIMIT + 1, bool)
-    for c in range(0xD800):
-        table[c] = bool(p["suspect"].match(chr(c)))
-    for c in range(0xE000, tb.LIMIT):
-        table[c] = bool(p["suspect"].match(chr(c)))
+    points = [*range(0xD800), *range(0xE000, tb.LIMIT)]
+    table = np.zeros(tb.LIMIT + 1, bool)
+    table[[points[m.start()] for m in _python()["suspect"].finditer("".join(map(chr, points)))]] = True
     return table
 
 
