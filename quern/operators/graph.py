@@ -28,7 +28,7 @@ def summary(edges: DataFrame) -> DataFrame:
     return out.withColumns({"avg_out": text.round_half_up(e / v, 3), "density": F.when(v > 1, text.round_half_up(e / (v * (v - 1.0)), 5)).otherwise(0.0)})
 
 
-def pagerank(edges: DataFrame, damping: float = 0.85, iterations: int = 10, tolerance: float | None = None, checkpoint_every: int = 5) -> DataFrame:
+def pagerank(edges: DataFrame, damping: float = 0.85, iterations: int = 10, tolerance: float | None = None) -> DataFrame:
     """(url, score): power iteration with the mass of dangling nodes spread evenly. Stops after iterations, or when the scores change by
     less than tolerance in sum. The latest iterate is returned, whatever their number. Edges are partitioned once by source; contributions
     are combined before they are shuffled to their targets, so that a target with very many links is no hot key."""
@@ -44,8 +44,7 @@ def pagerank(edges: DataFrame, damping: float = 0.85, iterations: int = 10, tole
         incoming = e.join(share, "src").groupBy(F.col("dst").alias("url")).agg(F.sum("share").alias("got"))
         new = (n.join(incoming, "url", "left").crossJoin(lost)
                .select("url", "out_degree", ((1 - damping) / total + damping * F.col("lost") / total + damping * F.coalesce("got", F.lit(0.0))).alias("score")))
-        if tolerance is not None or (i + 1) % checkpoint_every == 0:
-            new = materialise(new)
+        new = materialise(new)  # read twice in the next step
         if tolerance is not None:
             delta = new.join(ranks.select("url", F.col("score").alias("old")), "url").agg(F.sum(F.abs(F.col("score") - F.col("old")))).first()[0]
             ranks = new
@@ -67,12 +66,14 @@ def frontier(candidates: DataFrame, seen: DataFrame, most: int | None = None) ->
 
 
 def crawl_levels(seeds: DataFrame, edges: DataFrame, max_depth: int = 2) -> DataFrame:
-    """(url, depth): breadth-first, each URL at its least depth."""
+    """(url, depth): breadth-first, each URL at its least depth; ends where nothing new is reached."""
     reached = seeds.select("url", F.lit(0).alias("depth")).distinct()
     border = reached
     for depth in range(1, max_depth + 1):
         step = border.select(F.col("url").alias("src")).join(edges, "src").select(F.col("dst").alias("url")).distinct().join(reached.select("url"), "url", "left_anti")
         border = materialise(step.select("url", F.lit(depth).alias("depth")))
+        if border.isEmpty():
+            break
         reached = reached.unionByName(border)
     return reached
 

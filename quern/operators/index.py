@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quern.functions import text, urls
+from quern.runtime import numbered
 from quern.sources import tables
 
 FIELDS = ("title", "headings", "description", "body")
@@ -107,15 +108,18 @@ def merge_segments(segments: DataFrame, tombstones: DataFrame) -> DataFrame:
 
 
 def block_max(p: DataFrame, block: int = 16) -> DataFrame:
-    """(term, block, first_id, last_id, n, max_tf): skip blocks of a posting list in order of id."""
-    r = p.select("term", "id", "tf", ((F.row_number().over(W.partitionBy("term").orderBy("id")) - 1) / block).cast("int").alias("block"))
+    """(term, block, first_id, last_id, n, max_tf): skip blocks of a posting list in order of id. Positions are numbered by ranges, so that the
+    list of a hot term is no window of one task."""
+    r = numbered(p.select("term", "id", "tf"), "term", "id").withColumn("block", F.floor(F.col("number") / block).cast("int"))
     return r.groupBy("term", "block").agg(F.min("id").alias("first_id"), F.max("id").alias("last_id"), F.count("*").alias("n"), F.max("tf").alias("max_tf"))
 
 
-def retained_generations(builds: DataFrame, keep: int = 3) -> DataFrame:
-    """(build_id, retained): the active generation and the newest ready ones up to keep."""
-    order = F.row_number().over(W.orderBy(F.col("is_active").desc(), (F.col("status") == "ready").desc(), F.col("started_at").desc(), "build_id"))
-    return builds.select("build_id", ((order <= keep) & (F.col("is_active") | (F.col("status") == "ready"))).alias("retained"))
+def retained_generations(builds: DataFrame, keep: int = 3, store: str | None = None) -> DataFrame:
+    """builds with retained: of each store the active generation and the newest ready ones up to keep. builds has build_id, status, is_active,
+    started_at, and the column store where there are several."""
+    key = [store] if store else [F.lit(0)]
+    order = F.row_number().over(W.partitionBy(*key).orderBy(F.col("is_active").desc(), F.coalesce(F.col("status") == "ready", F.lit(False)).desc(), F.col("started_at").desc_nulls_last(), "build_id"))
+    return builds.withColumn("retained", (order <= keep) & (F.col("is_active") | (F.col("status") == "ready")))
 
 
 def suggestions(words: DataFrame, prefixes: DataFrame, limit: int = 5) -> DataFrame:

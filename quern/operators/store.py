@@ -214,7 +214,8 @@ def prune(spark: SparkSession, root: str, keep: int = KEEP) -> list[int]:
 def upsert(postings: DataFrame, changed: DataFrame) -> DataFrame:
     """Postings after the documents of changed were added or replaced."""
     new = index.postings(changed)
-    return postings.select(new.columns).join(changed.select("id"), "id", "left_anti").select(new.columns).unionByName(new)
+    both = [c for c in new.columns if c in postings.columns]
+    return postings.join(changed.select("id"), "id", "left_anti").select(both).unionByName(new.select(both))
 
 
 def remove(postings: DataFrame, ids: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from quern.functions import text, urls
 from quern.operators import evaluate, feedback, graph
 from quern.plans import sqltext as S
 from quern.plans.search_queries import _pagerank
-from quern.runtime import site_of, table
+from quern.runtime import materialise, site_of, table
 from quern.sources import tables
 
 
@@ -40,8 +40,9 @@ def frontier(spark, d):
 
 
 def crawl_levels(spark, d):
-    seeds = tables.docs(spark, d).filter(F.substring("id", 1, 2) == "00").select(urls.normalise(F.col("url")).alias("url"))
-    return graph.crawl_levels(seeds, tables.edges(spark, d), 2)
+    """Two levels of links (the depth is the crawl's parameter) from the records that wait to be crawled."""
+    seeds = tables.docs(spark, d).filter("index_status = 'pending'").select(urls.normalise(F.col("url")).alias("url")).filter("url is not null")
+    return graph.crawl_levels(seeds, materialise(tables.edges(spark, d).select("src", "dst")), 2)
 
 
 def url_normalise(spark, d):
@@ -189,7 +190,7 @@ ORACLE = {
     "pagerank_fixed": f"WITH {_pagerank(10)} SELECT url, {S.r('score', 8)} AS score FROM rank10",
     "pagerank_stats": f"WITH {_pagerank(10)} SELECT count(*) AS n, {S.r('min(score)', 8)} AS min_score, {S.r('max(score)', 8)} AS max_score, {S.r('avg(score)', 8)} AS mean_score, {S.r('median(score)', 8)} AS median_score, {S.r('sum(score)', 8)} AS sum_score FROM rank10",
     "frontier": f"WITH l AS (SELECT {S.norm_url('dst')} AS url, ord FROM link_edges WHERE {S.reject('dst')} IS NULL) SELECT url, min(ord) AS seq FROM l WHERE url NOT IN (SELECT {S.norm_url('url')} FROM raw_documents WHERE {S.norm_url('url')} IS NOT NULL) GROUP BY url",
-    "crawl_levels": f"""WITH RECURSIVE {S.DOCS}, {S.EDGES}, lv AS (SELECT {S.norm_url('url')} AS url, 0 AS depth FROM docs WHERE left(id, 2) = '00' UNION SELECT e.dst, depth + 1 FROM lv JOIN edges e ON e.src = lv.url WHERE depth < 2)
+    "crawl_levels": f"""WITH RECURSIVE {S.DOCS}, {S.EDGES}, lv AS (SELECT {S.norm_url('url')} AS url, 0 AS depth FROM docs WHERE index_status = 'pending' AND {S.norm_url('url')} IS NOT NULL UNION SELECT e.dst, depth + 1 FROM lv JOIN edges e ON e.src = lv.url WHERE depth < 2)
         SELECT url, min(depth) AS depth FROM lv GROUP BY url""",
     "url_normalise": f"WITH u AS (SELECT src AS url FROM link_edges UNION SELECT dst FROM link_edges) SELECT url, {S.norm_url('url')} AS normal, sha256({S.norm_url('url')}) AS url_hash, {S.reject('url')} AS rejected FROM u",
     "first_party": f"WITH e AS (SELECT {REG(S.host('src'))} AS src_domain, {REG(S.host('dst'))} AS dst_domain FROM link_edges) SELECT src_domain, src_domain = dst_domain AS is_first_party, count(*) AS n FROM e GROUP BY ALL",
