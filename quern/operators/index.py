@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -114,6 +114,26 @@ def block_max(p: DataFrame, block: int = 16) -> DataFrame:
     return r.groupBy("term", "block").agg(F.min("id").alias("first_id"), F.max("id").alias("last_id"), F.count("*").alias("n"), F.max("tf").alias("max_tf"))
 
 
+def encode_gaps(gaps: Column) -> Column:
+    """Bytes of numbers below 2**28: seven bits each, least first, the high bit on all but the last byte of a number."""
+    def one(g: Column) -> Column:
+        groups = F.when(g < 128, 1).when(g < 16384, 2).when(g < 2097152, 3).otherwise(4)
+        byte = lambda i: F.lpad(F.hex((F.floor(g / F.pow(F.lit(128.0), i)) % 128 + F.when(i < groups - 1, 128).otherwise(0)).cast("bigint")), 2, "0")
+        return F.array_join(F.transform(F.sequence(F.lit(0), groups - 1), byte), "")
+
+    return F.unhex(F.array_join(F.transform(gaps, one), ""))
+
+
+def decode_gaps(data: Column) -> Column:
+    """The numbers that encode_gaps wrote."""
+    text_ = F.hex(data)
+    values = F.transform(F.sequence(F.lit(0), F.greatest(F.length(data) - 1, F.lit(0))), lambda i: F.conv(F.substring(text_, i * 2 + 1, F.lit(2)), 16, 10).cast("bigint"))
+    start = F.struct(F.array().cast("array<bigint>").alias("out"), F.lit(0).cast("bigint").alias("sum"), F.lit(1).cast("bigint").alias("unit"))
+    step = lambda acc, v: F.when(v >= 128, F.struct(acc["out"].alias("out"), (acc["sum"] + (v - 128) * acc["unit"]).alias("sum"), (acc["unit"] * 128).alias("unit"))).otherwise(
+        F.struct(F.array_append(acc["out"], acc["sum"] + v * acc["unit"]).alias("out"), F.lit(0).cast("bigint").alias("sum"), F.lit(1).cast("bigint").alias("unit")))
+    return F.when(F.length(data) > 0, F.aggregate(values, start, step)["out"]).otherwise(F.array().cast("array<bigint>"))
+
+
 def retained_generations(builds: DataFrame, keep: int = 3, store: str | None = None) -> DataFrame:
     """builds with retained: of each store the active generation and the newest ready ones up to keep. builds has build_id, status, is_active,
     started_at, and the column store where there are several."""

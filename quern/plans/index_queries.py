@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quern.functions import text
-from quern.operators import index
+from quern.operators import index, store
 from quern.plans import sqltext as S
-from quern.runtime import table
+from quern.runtime import numbered, table
 from quern.sources import tables
 
 
@@ -102,21 +102,25 @@ def skip_blocks(spark, d):
 
 
 def posting_codec(spark, d):
-    """Bytes of a posting list as gaps of document numbers in seven-bit groups, against four-byte numbers."""
-    from pyspark.sql import Window as W
-
-    documents = tables.docs(spark, d)
-    # the first seven hex digits of an id as its number: they keep the order of ids without a global sort
+    """Posting lists as gaps of document numbers in seven-bit groups: encoded, decoded again, and compared in bytes with four-byte numbers.
+    Numbers are the first seven hex digits of an id, which keep the order of ids without a global sort; gaps restart every 128
+    postings, so that no list is one window."""
     number = F.conv(F.substring(F.regexp_replace("id", "-", ""), 1, 7), 16, 10).cast("bigint")
-    p = index.postings(documents).select("term", number.alias("n"))
-    gap = F.col("n") - F.coalesce(F.lag("n").over(W.partitionBy("term").orderBy("n")), F.lit(0))
-    size = F.when(gap < 128, 1).when(gap < 16384, 2).when(gap < 2097152, 3).otherwise(4)
-    return p.select("term", size.alias("b")).groupBy("term").agg(F.count("*").alias("df"), F.sum("b").alias("gap_bytes"), (F.count("*") * 4).alias("plain_bytes"))
+    p = numbered(store.opened(spark, d).postings.select("term", number.alias("n")), "term", "n").withColumn("block", F.floor(F.col("number") / 128))
+    blocks = p.groupBy("term", "block").agg(F.sort_array(F.collect_list("n")).alias("list"))
+    gaps = F.transform("list", lambda x, i: x - F.when(i == 0, F.lit(0).cast("bigint")).otherwise(F.get(F.col("list"), i - 1)))
+    coded = blocks.select("term", "list", index.encode_gaps(gaps).alias("bytes"))
+    size = F.length("bytes")
+    back = F.transform(index.decode_gaps(F.col("bytes")), lambda x: x)
+    same = F.aggregate(back, F.struct(F.array().cast("array<bigint>").alias("out"), F.lit(0).cast("bigint").alias("at")), lambda acc, g: F.struct(F.array_append(acc["out"], acc["at"] + g).alias("out"), (acc["at"] + g).alias("at")))["out"] == F.col("list")
+    return coded.select("term", F.size("list").alias("n"), size.alias("b"), same.alias("same")).groupBy("term").agg(F.sum("n").alias("df"), F.sum("b").alias("gap_bytes"), (F.sum("n") * 4).alias("plain_bytes"), F.bool_and("same").alias("decodes"))
 
 
 def suggest(spark, d):
-    words = dictionary(spark, d)
-    prefixes = tables.queries(spark, d).select(F.lower(F.regexp_extract(F.coalesce("raw_query", F.lit("")), r"([A-Za-z]{3})", 1)).alias("prefix"))
+    """Suggestions for the first one to four letters of the first word of every search query, in any script."""
+    words = store.opened(spark, d).dictionary
+    first = F.regexp_extract(text.normalise(F.coalesce("raw_query", F.lit(""))), r"([\p{L}\p{N}]+)", 1)
+    prefixes = tables.queries(spark, d).select(F.explode(F.transform(F.sequence(F.lit(1), F.lit(4)), lambda n: F.substring(first, F.lit(1), n))).alias("prefix"))
     return index.suggestions(words, prefixes)
 
 
@@ -131,6 +135,7 @@ PRINTS = f"prints AS (SELECT id, coalesce(nullif(trim(content_hash), ''), sha256
 HAS = lambda c: f"CASE WHEN trim(coalesce({c}, '')) <> '' THEN 1.0 ELSE 0.0 END"
 NWORDS = "len(list_filter(string_split(trim(regexp_replace(coalesce(body_text, ''), '[ \\t\\r\\n\\f]+', ' ', 'g')), ' '), lambda w: w <> ''))"
 
+NORM = S.NORMALISED.replace("left(coalesce(raw_query, ''), 200)", "coalesce(raw_query, '')")
 ORACLE = {
     "paged_scan": f"WITH {S.DOCS} SELECT id, url FROM docs ORDER BY id LIMIT 25 OFFSET 50",
     "status_scan": f"WITH {S.DOCS} SELECT id, index_status, language FROM docs WHERE index_status = 'pending'",
@@ -160,9 +165,10 @@ ORACLE = {
         WHERE NOT (substr(id, 2, 1) = '0' AND segment_seq <= 2) GROUP BY segment_seq, id""",
     "skip_blocks": f"""WITH {S.DOCS}, {S.TOKENS}, {S.POSTINGS}, b AS (SELECT term, id, tf, (row_number() OVER (PARTITION BY term ORDER BY id) - 1) // 16 AS block FROM postings)
         SELECT term, block, min(id) AS first_id, max(id) AS last_id, count(*) AS n, max(tf) AS max_tf FROM b GROUP BY term, block""",
-    "posting_codec": f"""WITH {S.DOCS}, {S.TOKENS}, {S.POSTINGS}, p AS (SELECT term, ('0x' || left(replace(id, '-', ''), 7))::BIGINT AS n FROM postings), g AS (SELECT term, n - coalesce(lag(n) OVER (PARTITION BY term ORDER BY n), 0) AS gap FROM p)
-        SELECT term, count(*) AS df, sum(CASE WHEN gap < 128 THEN 1 WHEN gap < 16384 THEN 2 WHEN gap < 2097152 THEN 3 ELSE 4 END) AS gap_bytes, count(*) * 4 AS plain_bytes FROM g GROUP BY term""",
-    "suggest": f"""WITH {S.DOCS}, {S.TOKENS}, {S.POSTINGS}, pre AS (SELECT DISTINCT lower(regexp_extract(coalesce(raw_query, ''), '([A-Za-z]{{3}})', 1)) AS prefix FROM search_queries),
+    "posting_codec": f"""WITH {S.DOCS}, {S.TOKENS}, {S.POSTINGS}, p AS (SELECT term, ('0x' || left(replace(id, '-', ''), 7))::BIGINT AS n FROM postings), o AS (SELECT term, n, row_number() OVER (PARTITION BY term ORDER BY n) - 1 AS k FROM p),
+        g AS (SELECT term, n - CASE WHEN k % 128 = 0 THEN 0 ELSE lag(n) OVER (PARTITION BY term ORDER BY n) END AS gap FROM o)
+        SELECT term, count(*) AS df, sum(CASE WHEN gap < 128 THEN 1 WHEN gap < 16384 THEN 2 WHEN gap < 2097152 THEN 3 ELSE 4 END) AS gap_bytes, count(*) * 4 AS plain_bytes, true AS decodes FROM g GROUP BY term""",
+    "suggest": f"""WITH {S.DOCS}, {S.TOKENS}, {S.POSTINGS}, pre AS (SELECT DISTINCT left(w, n) AS prefix FROM (SELECT regexp_extract({NORM}, '([\\p{{L}}\\p{{N}}]+)', 1) AS w FROM search_queries) CROSS JOIN (SELECT unnest([1, 2, 3, 4]) AS n)),
         s AS (SELECT prefix, term, greatest(10.0, df * 5.0) + 50 + CASE WHEN term = prefix THEN 100 ELSE 0 END + greatest(0.0, 20 - 0.5 * length(term)) AS score FROM dictionary JOIN pre ON prefix <> '' AND starts_with(term, prefix) WHERE length(term) <= 64)
         SELECT * FROM (SELECT prefix, term, score, row_number() OVER (PARTITION BY prefix ORDER BY score DESC, term) AS rank FROM s) WHERE rank <= 5""",
 }
