@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quern.functions import text
 
 # Abbreviations that end no sentence, boilerplate, stop words of questions.
-ABBREVIATIONS = "eg ie etc vs mr mrs ms dr prof inc ltd corp co jan feb mar apr jun jul aug sep oct nov dec no vol dept approx est min sec ft yd km mi".split()
+ABBREVIATIONS = "etc vs mr mrs ms dr prof inc ltd corp co jan feb mar apr jun jul aug sep oct nov dec no vol dept approx est min sec ft yd km mi".split()
 BOILERPLATE = [r"\ball\s+rights\s+reserved\b", r"\bterms\s+(and|&)\s+conditions\b", r"\bcookie\s+(policy|settings|consent)\b", r"\bsubscribe\s+to\s+our\s+newsletter\b", r"\bsign\s+in\s+to\s+your\s+account\b", r"\bclick\s+here\s+to\b",
                r"\bread\s+more\s+about\b", r"\bjavascript\s+is\s+(disabled|required)\b", r"\bpage\s+not\s+found\b", r"\b404\s+error\b", r"\bprivacy\s+policy\b", r"\baccept\s+all\s+cookies\b"]
 QUESTION_WORDS = "a an and are as at be by for from has he in is it its of on that the to was were will with what which who how when where why do does did this these those or if".split()
