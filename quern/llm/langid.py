@@ -265,7 +265,8 @@ def line_languages(records: DataFrame, model: tuple[list[str], tuple[np.ndarray,
                 vote = page_votes(document[lettered], line[lettered], n_letters[lettered], len(part))
                 with_sentence = np.isin(lettered, at[sentence])
                 sites = part.column("site").to_numpy(zero_copy_only=False)[document[lettered]]
-                held.append(np.stack([sites[with_sentence], line[lettered[with_sentence]], vote[with_sentence]], 1))
+                if with_sentence.any():
+                    held.append(np.stack([sites[with_sentence], line[lettered[with_sentence]], vote[with_sentence]], 1))
                 if sum(map(len, held)) > 1_000_000:
                     yield votes(held, id_type)
                     held.clear()
