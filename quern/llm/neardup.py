@@ -30,7 +30,7 @@ from quern.llm import textblocks as tb
 from quern.runtime import materialise
 
 THRESHOLD, WORDS, MATCHES, SKETCH_BITS, REGION_ROWS = 0.6, 3, 6, 20, 50_000
-SLICE_BITS = 14
+SLICE_BITS, BUCKET_ENTRIES = 14, 500_000
 
 
 def _sets(batches: Iterator[pa.RecordBatch], k: int):
@@ -280,8 +280,10 @@ def record_sets(texts: DataFrame, k: int, wanted: np.ndarray) -> DataFrame:
 def similar_sets(texts: DataFrame, threshold: float = THRESHOLD, k: int = WORDS, matches: int = MATCHES, sketch_bits: int = SKETCH_BITS, most: int = REGION_ROWS) -> tuple[DataFrame, DataFrame]:
     """(members (id, sig, n), pairs (a, b, similarity) of different sets). texts has id, title, body."""
     spark = texts.sparkSession
-    buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     sketch = shingle_sketch(texts, k, sketch_bits)
+    # a bucket is joined by one task: there are as many as the records' entries need, whatever the session's number of partitions
+    entries = int(sketch.sum(dtype=np.int64)) * (1 - threshold) + 1
+    buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), int(-(-entries // BUCKET_ENTRIES)))
     rows = materialise(region_rows(texts, sketch, k, threshold, matches, most, buckets))
     members = rows.filter("bucket is null").select("id", "sig", "n").distinct()
     counted = region_pairs(rows.filter("bucket is not null").select("bucket", "data"), threshold, matches, buckets)
