@@ -138,6 +138,8 @@ def region_rows(texts: DataFrame, sketch: np.ndarray, k: int, threshold: float,
             keep = pa.array(n > 0)
             members = pa.RecordBatch.from_arrays([part.column("id"), pa.array(sig), pa.array(n.astype(np.int32)), pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.binary())], names)
             yield members.filter(keep)
+            if len(seen) > 1_000_000:
+                seen.clear()  # it only spares work: of equal sets that come again, one is dropped where the bucket is joined
             first = np.array([s not in seen and not seen.add(s) for s in sig.tolist()], bool) & (n > 0) if len(sig) else np.zeros(0, bool)
             row = np.repeat(np.arange(len(n), dtype=np.uint64), n)
             count = cells[(hashes >> np.uint64(shingles.HASH_BITS - bits)).astype(np.int64)]
@@ -324,6 +326,26 @@ def found(records: DataFrame, threshold: float = THRESHOLD, k: int = WORDS) -> D
     return copies.unionByName(others)
 
 
+def components(edges: DataFrame) -> DataFrame:
+    """(node, root): the least node that each node of edges (a, b) reaches. Stars are made larger and smaller in turn until they stay, which
+    takes a number of rounds that grows with the logarithm of the longest chain; no round gathers the neighbours of a node."""
+    mark = lambda e: e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+    e = materialise(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    before = mark(e)
+    while True:
+        both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
+        large = materialise(large.unionByName(least.filter("m < a").select("a", F.col("m").alias("b"))).distinct())
+        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        small = large.join(least, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        e = materialise(small.unionByName(least.select("a", F.col("m").alias("b"))).distinct())
+        after = mark(e)
+        if after == before:
+            return e.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+        before = after
+
+
 def groups(records: DataFrame, threshold: float = THRESHOLD, k: int = WORDS) -> DataFrame:
     """(id, copy_class, n_links, group_id): one row per record that has words. copy_class is the least id of the records with the same
     set, n_links the number of other sets within the bound, group_id the least id that a chain of pairs reaches."""
@@ -332,14 +354,7 @@ def groups(records: DataFrame, threshold: float = THRESHOLD, k: int = WORDS) ->
     edges = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
     names = members.groupBy("sig").agg(F.min("id").alias("copy_class"))
     links = edges.groupBy(F.col("a").alias("sig")).agg(F.count("*").alias("n_links"))
-    label = materialise(links.join(names, "sig").select("sig", F.col("copy_class").alias("label")))
-    while True:
-        nearer = edges.join(label, edges.b == label.sig).groupBy(F.col("a").alias("sig")).agg(F.min("label").alias("near"))
-        own = label.join(nearer, "sig").select("sig", F.least("label", "near").alias("label"), (F.col("near") < F.col("label")).alias("moved"))
-        following = materialise(own)
-        if not following.filter("moved").limit(1).count():
-            break
-        label = following.select("sig", "label")
-    label = following.select("sig", "label")
+    reached = materialise(components(pairs).select(F.col("node").alias("sig"), "root"))
+    label = reached.join(reached.join(names, "sig").groupBy("root").agg(F.min("copy_class").alias("label")), "root").select("sig", "label")
     return (members.select("id", "sig").join(names, "sig").join(links, "sig", "left").join(label, "sig", "left")
             .select("id", "copy_class", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("label", "copy_class").alias("group_id")))

@@ -149,6 +149,22 @@ def test_similarity_join_equals_brute_force(spark):
     assert neardup.found(raw(spark, [])).count() == 0
 
 
+def test_components_of_chains_and_stars(spark):
+    rng = random.Random(8)
+    edges = [(i, i + 1) for i in range(100, 160)] + [(500, 500 + i) for i in range(1, 40)] + [(7, 9), (9, 8), (7, 7), (7, 9)]
+    rng.shuffle(edges)
+    got = dict(map(tuple, neardup.components(spark.createDataFrame(edges, "a long, b long")).collect()))
+    assert got == {**{i: 100 for i in range(100, 161)}, **{500 + i: 500 for i in range(40)}, 7: 7, 8: 7, 9: 7}
+    assert neardup.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_groups_of_a_chain(spark):
+    words = [f"w{i}" for i in range(80)]
+    d = raw(spark, [{"id": f"{i:02d}", "body_text": " ".join(words[i * 6 : i * 6 + 40])} for i in range(6)] + [{"id": "x", "body_text": "one two three four"}, {"id": "y", "body_text": "one two three four"}])
+    r = {x.id: (x.copy_class, x.n_links, x.group_id) for x in neardup.groups(d).collect()}
+    assert {r[f"{i:02d}"][2] for i in range(6)} == {"00"} and r["00"][1] == 1 and r["03"][1] == 2 and r["y"] == ("x", 0, "x")
+
+
 # ---- problems 2, 3, 4, 7
 
 SENTENCES = {"en": ["The old house stands near the river and nobody lives there.", "We found the answer in a small book about history."],
@@ -160,6 +176,23 @@ def samples(spark):
     return spark.createDataFrame([(k, t) for k in SENTENCES for t in SENTENCES[k] + extra[k]], "language string, text string")
 
 
+def test_related_languages_are_not_mixed_up(spark):
+    """A doubtful sentence makes no second language; a body without a finished sentence has a language too."""
+    en, de = SENTENCES["en"], SENTENCES["de"]
+    d = raw(spark, [{"id": "1", "language": "en", "body_text": "\n".join([*en, "Hand in Hand.", *en]), "url": "https://a.example"}, {"id": "2", "language": None, "body_text": "niemand wohnt dort und das Haus", "url": "https://b.example"},
+                    {"id": "3", "language": "en", "body_text": "\n".join([*en, *de]), "url": "https://c.example"}])
+    r = sorted(map(tuple, langid.languages(d, samples(spark)).select("id", "line_no", "language").collect()))
+    assert r == [("1", 0, "en"), ("2", 0, "de"), ("3", 1, "en"), ("3", 2, "en"), ("3", 3, "de"), ("3", 4, "de")]
+
+
+def test_list_pages_with_words_that_sentences_use(spark):
+    """Phrases that stand in sentences of two hosts, but far more often in lists, are no language."""
+    own = "The {a} house stands near the {b} and nobody lives there. We found cheap shoes online for the {a} farm."
+    data = [{"id": f"s{i}", "url": f"https://s{i}.example/", "body_text": own.format(a=f"old{chr(97 + i)}", b=f"hill{chr(97 + i)}")} for i in range(3)]
+    data += [{"id": f"k{i}", "url": f"https://k{i}.example/", "body_text": "\n".join("cheap shoes online" for _ in range(20))} for i in range(6)]
+    assert rows(liststuff.found(raw(spark, data))) == [(f"k{i}",) for i in range(6)]
+
+
 def test_languages(spark):
     en, de = " ".join(SENTENCES["en"] * 2), " ".join(SENTENCES["de"] * 2)
     d = raw(spark, [{"id": "1", "language": "de-AT", "body_text": en}, {"id": "2", "language": "English", "body_text": en}, {"id": "3", "language": None, "body_text": de}, {"id": "4", "language": "en", "body_text": f"{en}\n\n{de}"}, {"id": "5", "body_text": None}, {"id": "6", "body_text": " "}])
