@@ -90,7 +90,7 @@ def quick_answers(spark, d):
 
 def low_quality_sentences(spark, d):
     """Sentences of all documents that are fit for an answer, by source."""
-    t = table(spark, d, "documents").filter("text is not null").select("source", F.explode(F.split("text", r"\n+")).alias("s")).filter("trim(s) != ''")
+    t = table(spark, d, "documents").filter("text is not null").select("source", F.explode(F.split("text", r"\n+")).alias("s")).filter(F.col("s").rlike("[a-zA-Z]"))
     return t.groupBy("source").agg(F.count("*").alias("n"), F.count_if(A.is_poor(F.col("s"))).alias("n_poor"))
 
 
@@ -212,7 +212,7 @@ ORACLE = {
         SELECT query_id, rank, id, CASE WHEN trim(coalesce(title, '')) <> '' THEN trim(title) ELSE {FALLBACK} END AS title, array_to_string(list_concat([{S.host('url')}], list_filter(string_split({S.part('url', 4)}, '/'), lambda s: s <> '')), ' › ') AS display_url,
         regexp_replace({S.host('url')}, '^www\\.', '') AS domain, {AGE} AS age, CASE WHEN t IS NOT NULL THEN ms < 8 * 86400000 END AS is_recent, CASE WHEN t IS NOT NULL THEN ms >= 31 * 86400000::BIGINT END AS is_stale FROM b""",
     "fallback_titles": f"WITH {S.DOCS} SELECT id, {FALLBACK} AS title FROM docs",
-    "low_quality_sentences": f"WITH t AS (SELECT source, unnest(regexp_split_to_array(text, '\\n+')) AS s FROM documents WHERE text IS NOT NULL) SELECT source, count(*) AS n, count(*) FILTER ({POOR}) AS n_poor FROM t WHERE trim(s) <> '' GROUP BY source",
+    "low_quality_sentences": f"WITH t AS (SELECT source, unnest(regexp_split_to_array(text, '\\n+')) AS s FROM documents WHERE text IS NOT NULL) SELECT source, count(*) AS n, count(*) FILTER ({POOR}) AS n_poor FROM t WHERE regexp_matches(s, '[a-zA-Z]') GROUP BY source",
     "provider_results": f"""{PROVIDERS}, p AS (SELECT *, CASE WHEN provider <> 'wiki' THEN title END AS ti, CASE WHEN provider = 'local' THEN score / 10 END AS sc FROM prov) SELECT query_id, provider, rank, coalesce(nullif(trim(ti), ''), nullif(trim(url), ''), 'Untitled Result') AS title, 'Result from ' || provider AS snippet,
         regexp_replace({S.host('url')}, '^www\\.', '') AS "domain", round(coalesce(greatest(0.0, least(1.0, sc)), greatest(0.1, 0.9 - 0.02 * rank)), 6) AS score, coalesce(length(trim(url)) BETWEEN 1 AND 4096 AND {S.scheme('url')} IN ('http', 'https') AND {S.host('url')} <> '', false) AS is_safe FROM p""",
     "federated_merge": f"""{PROVIDERS}, o AS (SELECT query_id, lower(url) AS key, rank, provider, row_number() OVER (PARTITION BY query_id, lower(url) ORDER BY rank, provider) AS k FROM prov WHERE NOT failed), g AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank, provider, key) AS place FROM o WHERE k = 1)
