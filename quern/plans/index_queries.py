@@ -84,17 +84,18 @@ def incremental_delta(spark, d):
     return index.incremental(documents, active)
 
 
-def _segments(p):
-    """Three segments: every document in segment 1 or 2 by its id, ids beginning with a digit again in segment 3 with changed counts."""
-    seq = F.when(F.substring("id", 1, 1) < "8", 1).otherwise(2)
-    base = p.select(seq.alias("segment_seq"), "id", "term", "tf")
-    again = p.filter(F.substring("id", 1, 1) < "4").select(F.lit(3).alias("segment_seq"), "id", "term", (F.col("tf") + 1).alias("tf"))
-    dead = p.select("id").distinct().filter(F.substring("id", 2, 1) == "0").select(F.lit(2).alias("segment_seq"), "id")
-    return base.unionByName(again), dead
+def _segments(documents):
+    """Three segments: every document in segment 1 or 2 by its id, ids beginning with a digit again in segment 3 with changed counts. Both
+    rows of a posting are made side by side, so that texts are read once and nothing is united."""
+    base = F.struct(F.when(F.substring("id", 1, 1) < "8", 1).otherwise(2).alias("segment_seq"), F.col("tf").alias("tf"))
+    again = F.struct(F.lit(3).alias("segment_seq"), (F.col("tf") + 1).alias("tf"))
+    both = F.explode(F.when(F.substring("id", 1, 1) < "4", F.array(base, again)).otherwise(F.array(base))).alias("x")
+    dead = documents.select("id").filter(F.substring("id", 2, 1) == "0").select(F.lit(2).alias("segment_seq"), "id")
+    return index.postings(documents).select("id", "term", both).select("x.segment_seq", "id", "term", "x.tf"), dead
 
 
 def segment_merge(spark, d):
-    return index.merge_segments(*_segments(index.postings(tables.docs(spark, d)))).groupBy("segment_seq", "id").agg(F.count("*").alias("n_terms"), F.sum("tf").alias("total_tf"))
+    return index.merge_segments(*_segments(tables.docs(spark, d))).groupBy("segment_seq", "id").agg(F.count("*").alias("n_terms"), F.sum("tf").alias("total_tf"))
 
 
 def skip_blocks(spark, d):
