@@ -9,7 +9,7 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from quern.functions.text import round_half_up
+from quern.functions.text import let, round_half_up
 
 # Shortcuts with their targets.
 SHORTCUTS = {
@@ -112,8 +112,17 @@ def money(query: Column) -> Column:
     return F.coalesce(plain, round_half_up(value * crypto(a) * F.coalesce(fiat(b), 1 / crypto(b)), 4))
 
 
+def _latest(local: Column, zone: Column) -> Column:
+    """UTC of a local time, the later one of two. The earlier is what conversion gives; the offset of a day later is that after a change,
+    and what it gives counts if it reads as local in the zone."""
+    day = F.expr("INTERVAL 1 DAY")
+    both = F.struct(F.convert_timezone(zone, F.lit("UTC"), local).alias("first"), (F.convert_timezone(zone, F.lit("UTC"), local + day) - day).alias("second"))
+    return let(both, lambda v: F.when(v["first"] == v["second"], v["first"]).when(F.convert_timezone(F.lit("UTC"), zone, v["second"]) == local, F.greatest(v["first"], v["second"])).otherwise(v["first"]))
+
+
 def clock(query: Column, now: Column) -> Column:
-    """"3pm est to jst" as HH:mm in the second zone on the day of now, or "time in tokyo" as HH:mm of now."""
+    """"3pm est to jst" as HH:mm in the second zone on the day of now, or "time in tokyo" as HH:mm of now. Of a time that the first zone has
+    twice on that day, as summer time ends, the later counts; one that it leaves out is moved on by what is left out."""
     q = F.regexp_replace(F.lower(F.trim(query)), r"[?!]+$", "")
     form = r"^(\d{1,2})(?::(\d{2}))?\s*(am|pm)?\s+([a-z]+)\s+(?:to|in|into)\s+([a-z\s]+)$"
     zone = lambda i: F.element_at(_map(ZONES), F.trim(_group(q, form, i)))
@@ -123,7 +132,7 @@ def clock(query: Column, now: Column) -> Column:
     minute = F.coalesce(_group(q, form, 2).try_cast("int"), F.lit(0))
     day = F.to_date(now)
     start = F.concat(F.date_format(day, "yyyy-MM-dd "), F.lpad(hour.cast("string"), 2, "0"), F.lit(":"), F.lpad(minute.cast("string"), 2, "0"), F.lit(":00"))
-    moved = F.convert_timezone(zone(4), zone(5), F.to_timestamp_ntz(start))
+    moved = let(F.struct(F.to_timestamp_ntz(start).alias("local"), zone(4).alias("a"), zone(5).alias("b")), lambda v: F.convert_timezone(F.lit("UTC"), v["b"], _latest(v["local"], v["a"])))
     place = r"^(?:what\s+time\s+is\s+it\s+in|current\s+time\s+in|current\s+time|time\s+in|time)\s+([a-z\s]+)$"
     there = F.convert_timezone(F.lit("UTC"), F.element_at(_map(ZONES), F.trim(_group(q, place, 1))), now.cast("timestamp_ntz"))
     return F.when(q.rlike(form) & (hour < 24) & (minute < 60), F.date_format(moved, "HH:mm")).when(q.rlike(place), F.date_format(there, "HH:mm"))
