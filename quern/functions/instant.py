@@ -126,16 +126,18 @@ def clock(query: Column, now: Column) -> Column:
     q = F.regexp_replace(F.lower(F.trim(query)), r"[?!]+$", "")
     form = r"^(\d{1,2})(?::(\d{2}))?\s*(am|pm)?\s+([a-z]+)\s+(?:to|in|into)\s+([a-z\s]+)$"
     zone = lambda i: F.element_at(_map(ZONES), F.trim(_group(q, form, i)))
-    hour = _group(q, form, 1).try_cast("int")
-    half = _group(q, form, 3)
-    hour = F.when((half == "pm") & (hour < 12), hour + 12).when((half == "am") & (hour == 12), 0).otherwise(hour)
-    minute = F.coalesce(_group(q, form, 2).try_cast("int"), F.lit(0))
-    day = F.to_date(now)
-    start = F.concat(F.date_format(day, "yyyy-MM-dd "), F.lpad(hour.cast("string"), 2, "0"), F.lit(":"), F.lpad(minute.cast("string"), 2, "0"), F.lit(":00"))
-    moved = let(F.struct(F.to_timestamp_ntz(start).alias("local"), zone(4).alias("a"), zone(5).alias("b")), lambda v: F.convert_timezone(F.lit("UTC"), v["b"], _latest(v["local"], v["a"])))
+    number = lambda i: _group(q, form, i).try_cast("int")
+    read = F.struct(number(1).alias("hour"), _group(q, form, 3).alias("half"), F.coalesce(number(2), F.lit(0)).alias("minute"), zone(4).alias("a"), zone(5).alias("b"), F.to_date(now).cast("timestamp_ntz").alias("day"))
+
+    def answer(v: Column) -> Column:
+        hour = F.when((v["half"] == "pm") & (v["hour"] < 12), v["hour"] + 12).when((v["half"] == "am") & (v["hour"] == 12), 0).otherwise(v["hour"])
+        local = v["day"] + F.make_dt_interval(F.lit(0), hour, v["minute"])
+        moved = F.convert_timezone(F.lit("UTC"), v["b"], _latest(local, v["a"]))
+        return F.when((hour < 24) & (v["minute"] < 60), F.date_format(moved, "HH:mm"))
+
     place = r"^(?:what\s+time\s+is\s+it\s+in|current\s+time\s+in|current\s+time|time\s+in|time)\s+([a-z\s]+)$"
     there = F.convert_timezone(F.lit("UTC"), F.element_at(_map(ZONES), F.trim(_group(q, place, 1))), now.cast("timestamp_ntz"))
-    return F.when(q.rlike(form) & (hour < 24) & (minute < 60), F.date_format(moved, "HH:mm")).when(q.rlike(place), F.date_format(there, "HH:mm"))
+    return F.when(q.rlike(form), let(read, answer)).when(q.rlike(place), F.date_format(there, "HH:mm"))
 
 
 def cidr(query: Column) -> Column:
