@@ -105,6 +105,7 @@ LEET = str.maketrans("0134578@$!|€", "oieastbasiie")
 TOKEN = re.compile(r"[^\W_]+(?:[@$*!'’-]+[^\W_]+)*[*$]*|[@$*][^\W_]+(?:[@$*!-]*[^\W_]+)*")
 
 
+@lru_cache(100_000)
 def fold(token: str) -> str:
     """Lower case without accents; digits and signs that stand for letters, where there are letters too; letters written apart by hyphens
     joined; a letter three times or more once."""
@@ -242,7 +243,7 @@ def lexicon() -> dict:
         words = [fold(x) for x in phrase.split("_")]
         neutral.setdefault(words[0], []).append(words)
     return {
-        "single": single | masked, "starts": starts, "trie": Trie(set(single) | set(masked)), "person": folded(PERSON), "groups": folded(GROUPS), "reporting": folded(REPORTING), "violence": folded(VIOLENCE), "intent": folded(INTENT),
+        "single": single | masked, "starts": starts, "trie": Trie(set(single) | set(masked)), "person": folded(PERSON), "groups": folded(GROUPS), "reporting": folded(REPORTING), "scoring": frozenset((*single, *masked, *starts)), "violence": folded(VIOLENCE), "intent": folded(INTENT),
         "body": folded(BODY), "absence": folded(ABSENCE), "wish": folded(WISH), "telling": telling, "aimed": frozenset(aimed), "neutral": neutral, "common": common,
     }
 
@@ -254,6 +255,7 @@ class Guard:
     def __init__(self, frequent: frozenset = frozenset(), counts: dict | None = None, sequences: dict | None = None):
         self.frequent, self.counts, self.sequences = frequent, counts or {}, sequences or {}
         self.words = frozenset(w for s in self.sequences for w in s)
+        self.begins = frozenset(s[:2] for s in self.sequences)
 
     def allows(self, token: str, term: str) -> bool:
         return token not in self.frequent and self.counts.get(token, 0) <= max(4, self.counts.get(term, 0))
@@ -273,6 +275,8 @@ def term_of(token: str, cache: dict, guard: Guard) -> str:
 def sentence_words(sentence: str) -> list[tuple[str, int, int]]:
     """Tokens with their places; letters written apart by spaces are one token."""
     raw = [(m.group(), m.start(), m.end()) for m in TOKEN.finditer(sentence)]
+    if sum([b - a == 1 for _, a, b in raw]) < 4:
+        return raw
     tokens: list[tuple[str, int, int]] = []
     i = 0
     while i < len(raw):
@@ -303,13 +307,18 @@ def sentence_score(sentence: str, cache: dict, guard: Guard = NO_GUARD) -> tuple
     tokens = sentence_words(sentence)
     plain = [fold(t[0]) for t in tokens]
     words = [term_of(p, cache, guard) for p in plain]
+    telling = [i for i, (w, p) in enumerate(zip(words, plain)) if w in lex["scoring"] or p in lex["aimed"]]
+    begins = [i for i, pair in enumerate(zip(plain, plain[1:])) if pair in guard.begins]
+    if not telling and not begins:
+        return 0.0, "sexual"
     harmless = any(words[i : i + len(n)] == n or plain[i : i + len(n)] == n for i, w in enumerate(plain) for n in lex["neutral"].get(w, ()))
     harmless = harmless or bool(re.search(r"(?i)\b(idiot|fool)-?proof", sentence))
     quoted = [a > 0 and sentence[a - 1] in "\"“'‘«„" and b < len(sentence) and sentence[b] in "\"”'’»“" for _, a, b in tokens]
     insult = degrading = dehuman = sexual = aimed = 0.0
     expel = 0
     seen = set()
-    for i, w in enumerate(words):
+    for i in telling:
+        w = words[i]
         entries = list(lex["single"].get(w, ())) if not quoted[i] else []
         span = 1
         for parts, more in lex["starts"].get(w, ()):
@@ -341,14 +350,15 @@ def sentence_score(sentence: str, cache: dict, guard: Guard = NO_GUARD) -> tuple
         if plain[i] in lex["absence"] and any(x in lex["person"] for x in plain[max(0, i - 4) : i + 4]) and any(x in lex["wish"] for x in plain[max(0, i - 7) : i + 1]):
             aimed += 1.0
     learned = {"abusive": 0.0, "hateful": 0.0, "sexual": 0.0}
-    if guard.words and not guard.words.isdisjoint(plain):
-        for n in (2, 3, 4):
-            for i in range(len(plain) - n + 1):
-                hit = guard.sequences.get(tuple(plain[i : i + n]))
-                if hit and not any(quoted[i : i + n]):
-                    learned[hit[0]] = max(learned[hit[0]], hit[1])
-    person = any(w in lex["person"] for w in plain)
-    group = any(w in lex["groups"] for w in plain) or bool(NAMED_GROUP.search(sentence))
+    for n in (2, 3, 4):
+        for i in begins:
+            hit = guard.sequences.get(tuple(plain[i : i + n]))
+            if hit and not any(quoted[i : i + n]):
+                learned[hit[0]] = max(learned[hit[0]], hit[1])
+    if not (insult or degrading or dehuman or sexual or aimed or expel or any(learned.values())):
+        return 0.0, "sexual"
+    person = not lex["person"].isdisjoint(plain)
+    group = bool(dehuman or expel) and (any(w in lex["groups"] for w in plain) or bool(NAMED_GROUP.search(sentence)))
     abusive = aimed
     if insult:
         abusive += insult + (0.5 if person or NAMING.search(sentence) else 0) + degrading

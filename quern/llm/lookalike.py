@@ -91,6 +91,7 @@ def _python() -> dict:
         "suspect": re.compile(f"[{hard}{OTHER_SCRIPT}]"),
         "joiner": re.compile(f"(?<![{JOINED}\u200d\ufe0f\u2190-\u2bff\u3030\u303d\U0001f000-\U0001faff#*0-9])[{JOINERS}]|[\u200c\u200d](?![{JOINED}\u2190-\u2bff\U0001f000-\U0001faff])"),
         "word": re.compile(f"[{LATIN}{OTHER_SCRIPT}]*[{OTHER_SCRIPT}][{LATIN}{OTHER_SCRIPT}]*"),
+        "beside": re.compile(f"[{LATIN}][{OTHER_SCRIPT}]|[{OTHER_SCRIPT}][{LATIN}]"),
         "definite_other": re.compile(f"[^\\W\\d_{''.join(TO_LATIN)}]"),
         "latin": re.compile(f"[{LATIN}]"),
         "other": re.compile(f"[{OTHER_SCRIPT}]"),
@@ -132,19 +133,63 @@ def canonical_text(text: str) -> str:
     for line in text.split("\n"):
         if p["other"].search(line):
             context = len(p["other_definite"].findall(line)) >= 2 or not p["latin_definite"].search(line)
+            if context and not p["beside"].search(line):  # words are of one script each, and stay
+                out.append(line)
+                continue
             line = p["word"].sub(lambda m, c=context: canonical_word(m.group(), c), line)
         out.append(line)
     return "\n".join(out)
 
 
+def _plain_rows(cps: np.ndarray, offs: np.ndarray, kinds: np.ndarray, at: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Which of the rows (those of the suspect places at) are their own canonical_text for sure: nothing in them but letters of another script
+    is suspect or changes when composed, none of these stands beside a Latin letter, and each of their lines has two that only that
+    script has."""
+    value = np.searchsorted(offs, at, "right") - 1
+    owner = np.searchsorted(rows, value)
+    latin = kinds & LATIN_LETTER > 0
+    beside = latin[np.minimum(at + 1, len(cps) - 1)] & (at + 1 < offs[value + 1]) | latin[at - 1] & (at > offs[value])
+    bad = np.zeros(len(rows), bool)
+    bad[owner[(kinds[at] & OTHER_LETTER == 0) | beside]] = True
+    risky = np.searchsorted(offs, np.flatnonzero(kinds & COMPOSES), "right") - 1
+    bad[np.isin(rows, risky)] = True
+    # lines are told apart by the newlines before them; places of two rows are in different lines as well
+    line = np.searchsorted(np.flatnonzero(cps == 10), at) + owner
+    _, first, line = np.unique(line, return_index=True, return_inverse=True)
+    bad[owner[first[np.bincount(line, (kinds[at] & DEFINITE) > 0) < 2]]] = True
+    return ~bad
+
+
+def _canonical_lines(text: str, places: list[int]) -> str:
+    """canonical_text of a text whose suspect characters stand at the places: no step looks beyond a line, and lines without a suspect character
+    stay but for being composed."""
+    out, last = [], 0
+    for place in places:
+        if place < last:
+            continue
+        a, b = text.rfind("\n", 0, place) + 1, text.find("\n", place)
+        b = len(text) if b < 0 else b
+        out += [text[last:a], canonical_text(text[a:b])]
+        last = b
+    out.append(text[last:])
+    if not all(unicodedata.is_normalized("NFC", x) for x in out[::2]):  # composing may give a letter of another script
+        return canonical_text(text)
+    return "".join(out)
+
+
 def canonical_array(values: pa.Array) -> pa.Array:
-    """canonical_text of each value; values without a suspect character are passed on as they are."""
+    """canonical_text of each value; values without a suspect character, or plainly of another script, are passed on as they are."""
     cps, offs = tb.codepoints(values)
-    at = np.flatnonzero(_suspect_points()[np.minimum(cps, tb.LIMIT)])
+    kinds = _point_kinds()[np.minimum(cps, tb.LIMIT)]
+    at = np.flatnonzero(kinds & SUSPECT)
     if not len(at):
         return values
     rows = np.unique(np.searchsorted(offs, at, "right") - 1)
-    changed = pa.array([canonical_text(values[r].as_py()) for r in rows.tolist()], pa.string())
+    rows = rows[~_plain_rows(cps, offs, kinds, at, rows)]
+    if not len(rows):
+        return values
+    begin, end = np.searchsorted(at, offs[rows]), np.searchsorted(at, offs[rows + 1])
+    changed = pa.array([_canonical_lines(values[r].as_py(), (at[a:b] - offs[r]).tolist()) for r, a, b in zip(rows.tolist(), begin.tolist(), end.tolist())], pa.string())
     take = np.arange(len(values))
     take[rows] = len(values) + np.arange(len(rows))
     return pa.concat_arrays([values.cast(pa.string()), changed]).take(pa.array(take))
@@ -214,6 +259,32 @@ def _suspect_points() -> np.ndarray:
     return table
 
 
+SUSPECT, OTHER_LETTER, DEFINITE, LATIN_LETTER, COMPOSES = 1, 2, 4, 8, 16
+
+
+@lru_cache(1)
+def _point_kinds() -> np.ndarray:
+    """Of each code point (below textblocks.LIMIT): whether it is suspect (_suspect_points), a letter of another script and nothing else that is
+    suspect, a letter that only that script has, a Latin letter, and whether it may change when a text is composed."""
+    p = _python()
+    points = [*range(0xD800), *range(0xE000, tb.LIMIT)]
+    text = "".join(map(chr, points))
+    table = _suspect_points().astype(np.uint8) * SUSPECT
+    for bit, pattern in ((OTHER_LETTER, p["other"]), (DEFINITE, p["other_definite"]), (LATIN_LETTER, p["latin"])):
+        table[[points[m.start()] for m in pattern.finditer(text)]] |= bit
+    table[[points[m.start()] for m in p["hard"].finditer(text)]] &= 255 - OTHER_LETTER
+    # marks, points that have another form, the second of two that compose, and the later parts of Korean syllables
+    for c in points:
+        form = unicodedata.normalize("NFD", chr(c))
+        if unicodedata.combining(chr(c)) or not unicodedata.is_normalized("NFC", chr(c)):
+            table[c] |= COMPOSES
+        if len(form) > 1:
+            for second in form[1:]:
+                if ord(second) < tb.LIMIT:
+                    table[ord(second)] |= COMPOSES
+    return table
+
+
 def line_tokens(line: str) -> Iterator[tuple[str, bool]]:
     """(token, other_context) of the suspect tokens of a line."""
     p = _python()
