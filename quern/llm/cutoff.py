@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -34,28 +35,42 @@ TERMINAL = ".!?。！？"
 MARK = re.compile(r"(?:…|\.{2,}|\[\s*(?:…|\.{3})\s*\]|\(\s*(?:…|\.{3})\s*\))\s*$")
 ENTITY = "(?:a|am|amp|ap|apo|apos|l|lt|g|gt|q|qu|quo|quot|n|nb|nbs|nbsp|#x?[0-9A-Fa-f]{0,6})"
 DEBRIS = re.compile(rf"(?:\ufffd+|(?<=\w)&{ENTITY}?|\s&{ENTITY}|\\u?[0-9A-Fa-f]{{0,3}}|(?:%[0-9A-F]{{2}})+%?[0-9A-F]?|</?[A-Za-z][^<>]{{0,40}}|<)$")
+MARK_ENDS, DEBRIS_SIGN = frozenset("….])"), re.compile(r"[\ufffd&\\%<]")
 SENTENCE_END = re.compile(r"[.!?…][\"'”’»)\]]*(?=\s)")
 BULLET = re.compile(r"\s*(?:[-*•»>#|]|\d+[.)]\s)")
 LAST_WORD = re.compile(r"([^\W\d_]+)[^\w]*$")
 
 
+@lru_cache(1)
+def _extras() -> np.ndarray:
+    """By code point (below textblocks.LIMIT): what each of MEASURES counts for it beyond one, and whether that is anything."""
+    c = np.arange(tb.LIMIT + 1)
+    extras = np.zeros((len(MEASURES), tb.LIMIT + 1), np.int8)
+    extras[1] = (c > 0x7F).astype(np.int8) + (c > 0x7FF) + (c > 0xFFFF)
+    extras[2] = c > 0xFFFF
+    extras[3, [38, 60, 62, 34, 39]] = 4, 3, 3, 5, 4
+    extras[4] = np.isin(c, [34, 92, 10, 13, 9]) + 5 * (c > 0x7E) + 6 * (c > 0xFFFF)
+    extras[5, 10] = 1
+    return np.vstack([extras, extras.any(0)])
+
+
 def measure(text: pa.Array) -> np.ndarray:
-    """Lengths [values, MEASURES]."""
+    """Lengths [values, MEASURES]. Only characters that some measure counts otherwise than once are looked at."""
     cps, offs = tb.codepoints(text)
-    weights = np.zeros((len(MEASURES), len(cps) + 1), np.int64)
-    one = np.ones(len(cps), np.int64)
-    utf8 = one + (cps > 0x7F) + (cps > 0x7FF) + (cps > 0xFFFF)
-    utf16 = one + (cps > 0xFFFF)
-    html = one.copy()
-    for c, extra in ((38, 4), (60, 3), (62, 3), (34, 5), (39, 4)):
-        html[cps == c] += extra
-    json = one + np.isin(cps, [34, 92, 10, 13, 9]) + 5 * (cps > 0x7E) + 6 * (cps > 0xFFFF)
-    crlf = one + (cps == 10)
-    if len(cps) > 1:
-        crlf[1:] -= (cps[1:] == 10) & (cps[:-1] == 13)
-    for i, w in enumerate((one, utf8, utf16, html, json, crlf)):
-        np.cumsum(w, out=weights[i, 1:])
-    return (weights[:, offs[1:]] - weights[:, offs[:-1]]).T
+    out = np.repeat(np.diff(offs)[:, None], len(MEASURES), 1)
+    extras, at = _extras(), np.minimum(cps, tb.LIMIT)
+    places = np.flatnonzero(extras[-1][at])
+    if not len(places):
+        return out
+    weights = np.zeros((len(MEASURES), len(places) + 1), np.int32)
+    np.cumsum(extras[:-1, at[places]], axis=1, out=weights[:, 1:])
+    bounds = np.searchsorted(places, offs)
+    out += (weights[:, bounds[1:]] - weights[:, bounds[:-1]]).T
+    # a line feed after a carriage return is one already
+    feeds = places[cps[places] == 10]
+    paired = feeds[(cps[feeds - 1] == 13) & ~np.isin(feeds, offs)]
+    np.subtract.at(out[:, 5], np.searchsorted(offs, paired, "right") - 1, 1)
+    return out
 
 
 def ending(text: str) -> tuple[bool, bool, bool, str, str]:
@@ -63,9 +78,10 @@ def ending(text: str) -> tuple[bool, bool, bool, str, str]:
     but it stands at the end, last line)."""
     text = text.rstrip()
     last_line = text[text.rfind("\n") + 1 :]
-    if MARK.search(last_line):
+    # a mark ends with one of its signs; debris is shorter than 48 characters or has a part at the end that is debris itself
+    if last_line[-1:] in MARK_ENDS and MARK.search(last_line):
         return False, True, False, "", last_line
-    if DEBRIS.search(last_line):
+    if DEBRIS_SIGN.search(last_line, max(0, len(last_line) - 48)) and DEBRIS.search(last_line):
         return False, True, False, "", last_line
     if (last_line.rstrip(CLOSERS + " ") or " ")[-1] in TERMINAL:
         return True, False, False, "", last_line

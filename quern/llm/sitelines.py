@@ -85,7 +85,8 @@ def copy_votes(nodes: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("site").take(pa.array(owner)), flat.field("node"), flat.field("is_label"), pa.array(copy)], ["site", "node", "is_label", "copy"])
 
     one = nodes.groupBy("site", "node", "is_label", "page").agg(F.max("share").alias("share"))
-    counted = one.groupBy("site", "node", "is_label").agg(F.count("*").alias("n")).filter("n > 1")
+    # the share is read here too, so that both readings of one have the same columns and Spark computes and moves it once
+    counted = one.groupBy("site", "node", "is_label").agg(F.count("*").alias("n"), F.max("share").alias("most")).filter("n > 1 and most >= 0").drop("most")
     pages = (one.join(counted, ["site", "node", "is_label"]).groupBy("site", "page")
              .agg(F.collect_list(F.struct("node", "is_label", "n", "share")).alias("nodes")))
     kind = nodes.schema["site"].dataType.simpleString()
